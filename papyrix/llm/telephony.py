@@ -141,7 +141,7 @@ def decode(media: DataFrame, rate: int = OUT_RATE, keep_pcm: bool = True) -> Dat
         import pyarrow as pa
 
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(9)]
             for doc, n, x in zip(*(batch.column(k) for k in range(3))):
                 stored = x.as_py()
                 _, _, _, data = parse(stored)
@@ -151,9 +151,9 @@ def decode(media: DataFrame, rate: int = OUT_RATE, keep_pcm: bool = True) -> Dat
                 for column, value in zip(out, row):
                     column.append(value)
                 if keep_pcm:
-                    out[8:] = [[*(out[8] if len(out) > 8 else []), sounds.astype("<i2").tobytes()]]
+                    out[8].append(sounds.astype("<i2").tobytes())
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names[: len(out)])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)][: 8 + keep_pcm], names[: 8 + keep_pcm])
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"]
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", pcm binary" * keep_pcm
