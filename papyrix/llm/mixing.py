@@ -4,8 +4,8 @@ Every document of a source should be taken target / source_size times on average
 fractional probability. Pivotal rounding settles the fractions: of two open documents it moves words from one to the
 other, at random and without bias, until one of them is at 0 or 1; the other goes on. Documents meet in random groups
 of about FAN; each group leaves one open document, and those meet again in a FAN times smaller number of groups, a
-reduction tree whose last group of each source leaves one, which is rounded by chance. So a source's taken words differ
-from its target by less than one document, and no group grows with a source.
+reduction tree whose last group of each source leaves one, which goes to the nearer end. So a source's taken words differ
+from its target by half of one document at most, and no group grows with a source.
 
 Defined results: a null text has size 0 and is taken 0 words; a null source is a source of its own, ordered last;
 repeated rows are told apart by a running number and rounded one by one; an empty table gives an empty result. All
@@ -110,7 +110,7 @@ def copies(sized: DataFrame) -> DataFrame:
         if step >= most:
             break
         step, depth = step * FAN, depth + 1
-    last = level.select("m.doc_id", "m.rep", "m.size", "source", (_uniform(F.col("m.doc_id"), F.col("m.rep"), F.lit("last")) < F.col("m.p")).cast("int").alias("take")) if most else None
+    last = level.select("m.doc_id", "m.rep", "m.size", "source", (F.col("m.p") >= 0.5).cast("int").alias("take")) if most else None
     taken = done[0]
     for part in [*done[1:], *([last] if most else [])]:
         taken = taken.unionByName(part)

@@ -79,7 +79,7 @@ def read(spark, path: str) -> DataFrame:
     kept = spark.read.parquet(f"{path}/payloads").select("digest", "payload", F.sha2("payload", 256).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     kept = kept.withColumn("payload_digest", F.when(F.col("payload_digest") == F.col("digest"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("payload damaged: "), "digest"))))
     text = F.decode("header", "UTF-8")
-    of = lambda name: F.regexp_extract("text", rf"(?m)^{name}: ([^\r\n]*)\r$", 1)
+    of = lambda name: F.regexp_extract("text", rf"(?dm)^{name}: ([^\r\n]*)", 1)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     said = spark.read.parquet(f"{path}/records").withColumn("text", text).select(
         number(of("WARC-Record-ID")).alias("page_id"), of("WARC-Target-URI").alias("url"), of("WARC-Type").alias("record_type"), number(of("WARC-Refers-To")).alias("refers_to"),
