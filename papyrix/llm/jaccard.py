@@ -6,7 +6,7 @@ n - ceil(threshold * n) + 1 elements in any common order; here frequent shingles
 documents, so long shared passages rarely lead documents together. Classes that share such an element meet in a group,
 named by its smallest member; a group is cut into blocks of bounded size, and every pair of blocks is one unit of work.
 
-In a unit, signature trees are joined: leaves hold a few documents' token bitmaps, nodes the OR of theirs and their range of
+In a key's rows, those without a neighbour of a fitting size go first. In a unit, signature trees are joined: leaves hold a few documents' token bitmaps, nodes the OR of theirs and their range of
 sizes. A pair of nodes is dropped when no pair of sizes or the largest possible overlap (what both bitmaps have, and
 what one bitmap can hide in shared bits) reaches the threshold. What is left is verified on the sets, but for pairs that
 are linked already through others. Links go to a distributed connected-components loop.
@@ -94,19 +94,20 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def sets(docs: DataFrame, k: int, percent: int, last: np.ndarray) -> DataFrame:
-    """doc_id, n (size of the set), sig (128-bit hash of the set), keys (the elements it is grouped by)."""
+    """doc_id, n (size of the set), sig (128-bit hash of the set), bitmap, keys (the elements it is grouped by)."""
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
         for batch in batches:
-            sizes, signs, keys = [], [], []
+            sizes, signs, maps, keys = [], [], [], []
             for text in _texts(batch):
                 s = shingles(text, k)
                 n = len(s)
                 sizes.append(n)
                 signs.append(xxhash.xxh3_128_digest(s.tobytes()) if n else b"")
+                maps.append(bitmap(s, bits(n)).tobytes() if n else b"")
                 first = n - -(-percent * n // 100) + 1 if n else 0
                 if n and len(last):
                     at = np.searchsorted(last, s)
@@ -115,9 +116,9 @@ def sets(docs: DataFrame, k: int, percent: int, last: np.ndarray) -> DataFrame:
                 keys.append(s[:first].view(np.int64))
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.array(maps, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n", "sig", "bitmap", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, sig binary, bitmap binary, keys array<long>")
 
 
 def whole(docs: DataFrame, k: int) -> DataFrame:
@@ -134,6 +135,17 @@ def whole(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, sig binary, shingles binary")
 
 
+def bits(n: int) -> int:
+    """Width of the token bitmap of a set of n: a power of two of 2 to 4 bits an element."""
+    return 64 << int(2 * n // 64).bit_length()
+
+
+def bitmap(s: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros(width, bool)
+    out[s & np.uint64(width - 1)] = True
+    return np.packbits(out, bitorder="little").view(np.uint64)
+
+
 class Tree:
     """A signature tree over some of a unit's documents: levels of nodes, the leaves first."""
 
@@ -157,19 +169,60 @@ class Tree:
 def links(found: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Positions of linked pairs that span all links of a unit. side: 0 or 1, by block; with two blocks only pairs across count."""
     sizes = np.array([len(x) for x in found])
-    width = 64 << max(0, int(2 * sizes.max() // 64)).bit_length()
-    bitmaps = np.zeros((len(found), width // 64), np.uint64)
-    for k, s in enumerate(found):
-        bit = s & np.uint64(width - 1)
-        np.bitwise_or.at(bitmaps[k], bit >> np.uint64(6), np.uint64(1) << (bit & np.uint64(63)))
+    width = bits(int(sizes.max()))
+    bitmaps = np.stack([bitmap(s, width) for s in found])
     slack = sizes - np.bitwise_count(bitmaps).sum(1, dtype=np.int64)
     least = np.array([s[0] for s in found], np.uint64)
     rank = np.lexsort((least, np.floor(np.log(sizes) / 0.16)))
     trees = [Tree(rank[side[rank] == b], sizes, bitmaps, slack) for b in np.unique(side)]
-    same = len(trees) == 1
-    left, right = trees[0], trees[-1]
     group = np.arange(len(found))  # of documents linked so far
     out: list[tuple[int, int]] = []
+
+    def settled(u, v):
+        return bool((group[u] == group[u[0]]).all() and (group[v] == group[u[0]]).all())
+
+    for u, v in candidates(trees[0], trees[-1], len(trees) == 1, sizes, bitmaps, slack, percent, settled):
+        if group[u] == group[v]:
+            continue
+        s, t = (found[u], found[v]) if sizes[u] < sizes[v] else (found[v], found[u])
+        at = np.searchsorted(t, s)
+        both = int((t[np.minimum(at, len(t) - 1)] == s).sum())
+        if 100 * both >= percent * (len(s) + len(t) - both):
+            out.append((u, v))
+            group[group == group[v]] = group[u]
+    return out
+
+
+def survivors(sizes: np.ndarray, maps: list[bytes], side: np.ndarray, percent: int) -> np.ndarray:
+    """Which documents of a unit have a partner that their sizes and bitmaps allow. Bitmaps of different widths are
+    compared at the smaller one, to which the other is folded."""
+    mark = np.zeros(len(sizes), bool)
+    widths = np.array([8 * len(m) for m in maps])
+    order = np.argsort(sizes, kind="stable")
+    for width in np.unique(widths):
+        own = widths == width
+        wider = (widths == 2 * width) & (sizes * percent <= 100 * sizes[own].max())
+        here = np.flatnonzero(own | wider)
+        if len(here) < 2:
+            continue
+        rows = np.stack([np.frombuffer(maps[k], np.uint64).reshape(-1, width // 64) for k in here[own[here]]])[:, 0]
+        if wider.any():
+            folded = np.stack([np.bitwise_or.reduce(np.frombuffer(maps[k], np.uint64).reshape(2, -1), axis=0) for k in here[wider[here]]])
+            both = np.empty((len(here), width // 64), np.uint64)
+            both[own[here]], both[wider[here]] = rows, folded
+            rows = both
+        n, sub, b = sizes[here], mark[here], side[here]
+        slack = n - np.bitwise_count(rows).sum(1, dtype=np.int64)
+        rank = np.argsort(np.argsort(order)[here], kind="stable")
+        trees = [Tree(rank[b[rank] == x], n, rows, slack) for x in np.unique(b)]
+        for u, v in candidates(trees[0], trees[-1], len(trees) == 1, n, rows, slack, percent, lambda u, v: bool(sub[u].all() and sub[v].all())):
+            sub[u] = sub[v] = True
+        mark[here] |= sub
+    return mark
+
+
+def candidates(left: Tree, right: Tree, same: bool, sizes, bitmaps, slack, percent: int, settled):
+    """Dual traversal: pairs of positions that no bound excludes. settled(u, v): whether all pairs of both are of no use."""
     stack = [(len(left.levels) - 1, 0, len(right.levels) - 1, 0)]
     while stack:
         i, a, j, b = stack.pop()
@@ -181,8 +234,7 @@ def links(found: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple
             shared = int(np.bitwise_count(x[5][a] & y[5][b]).sum())
             if (100 + percent) * (shared + min(x[4][a], y[4][b])) < percent * (x[2][a] + y[2][b]):
                 continue
-        ga, gb = group[left.order[x[0][a] : x[1][a]]], group[right.order[y[0][b] : y[1][b]]]
-        if (ga == ga[0]).all() and (gb == ga[0]).all():
+        if settled(left.order[x[0][a] : x[1][a]], right.order[y[0][b] : y[1][b]]):
             continue
         if i or j:
             if own:
@@ -201,52 +253,63 @@ def links(found: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple
         may &= 100 * np.minimum(sizes[ka][:, None], sizes[kb][None]) >= percent * np.maximum(sizes[ka][:, None], sizes[kb][None])
         for p, q in np.argwhere(may):
             u, v = int(ka[p]), int(kb[q])
-            if own and u >= v or group[u] == group[v]:
-                continue
-            s, t = (found[u], found[v]) if sizes[u] < sizes[v] else (found[v], found[u])
-            at = np.searchsorted(t, s)
-            both = int((t[np.minimum(at, len(t) - 1)] == s).sum())
-            if 100 * both >= percent * (len(s) + len(t) - both):
-                out.append((u, v))
-                group[group == group[v]] = group[u]
-    return out
+            if not own or p < q:
+                yield u, v
 
 
-def pairs(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b: linked class representatives, spanning every linked group. members: route, rep, sig, n (staged)."""
+def dealt(members: DataFrame) -> DataFrame:
+    """route, i, j, side, rep: the members (route, rep, n) of each unit of work, a pair of blocks of a group."""
     per_route = members.groupBy("route").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).select("route", F.greatest(F.ceil(F.col("c") / BLOCK_DOCS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = members.join(per_route, "route").withColumn("block", F.pmod(F.xxhash64("rep", "sig"), F.col("blocks")).cast("int"))
-    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("route", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "rep", "sig")
-    needed = members.select(F.col("rep").alias("doc_id")).distinct()
-    few = needed.count() <= 1_000_000
-    bodies = whole(docs.join(F.broadcast(needed) if few else needed, "doc_id", "left_semi").select("doc_id", "text"), k).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "sig"])
-    joined = units.join(bodies, ["rep", "sig"]).select("route", "i", "j", "side", "rep", "shingles")
-    joined = joined.repartition("route", "i", "j").sortWithinPartitions("route", "i", "j", "side", "rep")
+    rows = members.join(per_route, "route").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    return rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("route", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "rep")
+
+
+def by_unit(joined: DataFrame, body: str, work, names: list[str], schema: str) -> DataFrame:
+    """Run work(rows of (route, i, j, side, rep, body)) on each unit; units are runs of sorted rows, held one at a time."""
+    ordered = joined.select("route", "i", "j", "side", "rep", body).repartition("route", "i", "j").sortWithinPartitions("route", "i", "j", "side", "rep")
 
     def run(batches):
         import pyarrow as pa
 
-        def joined_unit(rows):
-            found = [np.frombuffer(r[2], np.uint64) for r in rows]
-            ids = [r[1] for r in rows]
-            got = links(found, np.array([r[0] for r in rows]), percent) if len(rows) > 1 else []
-            return [ids[u] for u, _ in got], [ids[v] for _, v in got]
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if name in ("i", "j", "side") else pa.int64()) for k, name in enumerate(names)], names)
 
         unit, rows = None, []
         for batch in batches:
-            out: list[list] = [[], []]
-            route, i, j, side, rep, body = (batch.column(c).to_pylist() for c in range(6))
-            for at in range(len(route)):
-                if (now := (route[at], i[at], j[at])) != unit:
-                    for column, values in zip(out, joined_unit(rows) if rows else ([], [])):
-                        column += values
-                    unit, rows = now, []
-                rows.append((side[at], rep[at], body[at]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in joined_unit(rows)], ["a", "b"])
+            out: list = []
+            for row in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                if row[:3] != unit:
+                    out += work(rows) if len(rows) > 1 else []
+                    unit, rows = row[:3], []
+                rows.append(row)
+            yield batch_of(out)
+        if len(rows) > 1:
+            yield batch_of(work(rows))
+
+    return ordered.mapInArrow(run, schema)
+
+
+def pairs(docs: DataFrame, members: DataFrame, made: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: linked class representatives, spanning every linked group. members: route, rep, n and made, both staged.
+
+    First the trees are joined on bitmaps alone; sets are then made for, and sent to, only what has a possible partner.
+    """
+
+    def kept(rows):
+        mark = survivors(np.array([r[5]["n"] for r in rows]), [r[5]["bitmap"] for r in rows], np.array([r[3] for r in rows]), percent)
+        return [r[:5] for r, m in zip(rows, mark) if m]
+
+    def linked(rows):
+        got = links([np.frombuffer(r[5], np.uint64) for r in rows], np.array([r[3] for r in rows]), percent)
+        return [(rows[u][4], rows[v][4]) for u, v in got]
 
-    return joined.mapInArrow(run, "a long, b long")
+    maps = made.where("n > 0").select(F.col("doc_id").alias("rep"), F.struct("n", "bitmap").alias("m"))
+    chosen = by_unit(dealt(members).join(maps, "rep"), "m", kept, ["route", "i", "j", "side", "rep"], "route long, i int, j int, side int, rep long")
+    chosen, _ = common.stage(chosen.distinct(), "survivors")
+    needed = chosen.select(F.col("rep").alias("doc_id")).distinct()
+    needed = F.broadcast(needed) if needed.count() <= 1_000_000 else needed
+    bodies = whole(docs.join(needed, "doc_id", "left_semi").select("doc_id", "text"), k).select(F.col("doc_id").alias("rep"), "sig", "shingles").dropDuplicates(["rep", "sig"])
+    return by_unit(chosen.join(bodies, "rep"), "shingles", linked, ["a", "b"], "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -279,14 +342,16 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     made, _ = common.stage(sets(docs, k, percent, frequent(docs, k)), "sets")
     keyed = made.where("n > 0 AND doc_id IS NOT NULL")
-    classes = keyed.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "keys")).alias("r"))
-    rows = classes.select("sig", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.explode("r.keys").alias("key"))
-    by_key = Window.partitionBy("key")
-    met = rows.withColumn("c", F.count(F.lit(1)).over(by_key)).where("c > 1").withColumn("route", F.min("rep").over(by_key))
-    members, members_path = common.stage(met.select("route", "rep", "sig", "n").distinct(), "members")
-    found = components(pairs(docs, members, k, percent))
+    copies, _ = common.stage(keyed.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").select("sig", "rep"), "copies")
+    copies = F.broadcast(copies) if copies.count() <= 200_000 else copies
+    first = keyed.join(copies, "sig", "left").where("rep IS NULL OR rep = doc_id")
+    rows = first.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"), F.col("n").cast("int").alias("n"))
+    by_size = Window.partitionBy("key").orderBy("n", "rep")
+    near = (F.lag("n").over(by_size) * 100 >= percent * F.col("n")) | (F.lead("n").over(by_size) * percent <= 100 * F.col("n"))
+    met = rows.withColumn("near", near).where("near").withColumn("route", F.min("rep").over(Window.partitionBy("key")))
+    members, members_path = common.stage(met.select("route", "rep", "n").distinct(), "members")
+    found = components(pairs(docs, members, made, k, percent))
     common.remove(spark, members_path)
-    copies = keyed.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").select("sig", "rep")
     out = made.select("doc_id", "n", "sig").join(copies, "sig", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(found, F.col("rep") == F.col("id"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
