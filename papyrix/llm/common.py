@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import ctypes.util
 import tempfile
 import uuid
 
@@ -56,3 +58,16 @@ def arrow_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session by rows and bytes, so that long texts don't pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+_claims: dict = {}
+
+
+def claim(owner: str, drop) -> None:
+    """Say that a worker's task fills ``owner``'s cache from now on: other owners' caches are dropped, so that a worker which
+    serves one operator after another holds one cache at a time."""
+    for other in [x for x in _claims if x != owner]:
+        _claims.pop(other)()
+        if ctypes.util.find_library("c"):
+            getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", lambda _: 0)(0)
+    _claims[owner] = drop

@@ -79,6 +79,7 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
             keep = n >= LOCAL
             return pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(n[keep])], ["key", "n"])
 
+        common.claim("words", _words.clear)
         held: list = []
         for batch in batches:
             for text in _texts(batch):
@@ -100,6 +101,7 @@ def sets(docs: DataFrame, k: int, percent: int, last: np.ndarray) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
+        common.claim("words", _words.clear)
         for batch in batches:
             sizes, signs, maps, keys = [], [], [], []
             for text in _texts(batch):
@@ -128,6 +130,7 @@ def whole(docs: DataFrame, k: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
+        common.claim("words", _words.clear)
         for batch in batches:
             found = [shingles(t, k).tobytes() for t in _texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(x) if x else b"" for x in found], pa.binary()), pa.array(found, pa.binary())], ["doc_id", "sig", "shingles"])
