@@ -310,9 +310,9 @@ def dgaps(spark, d):
     return index.with_gaps(_posts(spark, d)).select("term", "doc_id", "gap")
 
 
-@query(f"WITH {_POST}, r AS (SELECT term, doc_id, row_number() OVER w - 1 AS at, floor(sqrt(count(*) OVER (PARTITION BY term)))::BIGINT AS s FROM post WINDOW w AS (PARTITION BY term ORDER BY doc_id)) SELECT * FROM (SELECT term, at, doc_id, lead(doc_id) OVER (PARTITION BY term ORDER BY at) AS skip_to FROM r WHERE at % s = 0) WHERE skip_to IS NOT NULL")
+@query(f"WITH {_POST}, r AS (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS place, floor(sqrt(count(*) OVER (PARTITION BY term)))::BIGINT AS s FROM post), p AS (SELECT term, place, doc_id, lead(doc_id) OVER (PARTITION BY term ORDER BY place) AS skip_to FROM r WHERE place % s = 0) SELECT term, place, doc_id, skip_to FROM p WHERE skip_to IS NOT NULL")
 def skiplist_build(spark, d):
-    return index.skip_lists(_posts(spark, d))
+    return index.skip_lists(_posts(spark, d)).withColumnRenamed("at", "place")
 
 
 @query(f"WITH {_POST}, g AS (SELECT term, tf, doc_id, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term ORDER BY doc_id) AS gap FROM post), t AS (SELECT sum(greatest(1, ceil(length(bin(doc_id)) / 7.0))) AS a, sum(greatest(1, ceil(length(bin(gap)) / 7.0))) AS b, ceil(sum(2 * length(bin(tf)) - 1) / 8.0) AS c FROM g GROUP BY term) SELECT sum(a)::BIGINT AS bytes_ids, sum(b)::BIGINT AS bytes_gaps, sum(c)::BIGINT AS bytes_counts FROM t")
