@@ -12,11 +12,11 @@ PATTERNS = {
     "abbreviations": r"\b(?:Dr|Lic|Ing|Sr|Sra|S\.A|etc)\.\b",
     "acronyms": r"\b[A-Z](?:\.?[A-Z]+){1,7}\b",
     "numbers": r"\b\d{1,4}(?:[.-]?\d{1,4}){0,3}\b",
-    "urls": r"(?:https?|ftp|file)?://[^\s/$.?#].[^\s]*",
+    "urls": r"\b(?:ftp|https|http)?://[^\s/$.?#].[^\s]*\b",
     "emails": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,7}\b",
-    "names": r"\b[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?:\s[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+)*\b(?!\.)",
-    "dates": r"\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b",
-    "words": r"\b[a-zA-ZáéíóúÁÉÍÓÚñÑüÜ]+(?:-[a-zA-ZáéíóúÁÉÍÓÚñÑüÜ]+)*\b",
+    "names": r"\b[A-Z][a-z]+(?:\s[A-Z][a-z]+)*\b(?!\.)",
+    "dates": r"\b\d{2}[-/.]\d{2}[-/.]\d{4}\b",
+    "words": r"[a-zA-ZáéíóúüñÁÉÍÓÚÜÑ]+(?:-[a-zA-Z]+)*",
 }
 
 #: A short Spanish and English stop list for the queries here; every operator takes its own.

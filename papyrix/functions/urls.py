@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: File name endings of static pages.
-STATIC = ("html", "htm", "css", "js", "jpg", "jpeg", "png", "gif", "svg", "ico", "webp", "bmp", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "txt", "xml", "zip", "rar", "gz", "mp3", "mp4", "avi", "woff")
+STATIC = tuple("html htm xhtml shtml css js json jpg jpeg png gif svg webp ico pdf doc docx ppt pptx xls xlsx txt csv xml woff woff2 ttf eot".split())
 
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
 

@@ -140,7 +140,7 @@ def _pattern(name: str, sql_pattern: str | None):
 
 
 for _name in text.PATTERNS:
-    _pattern(_name, {"emails": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,7}\b", "urls": r"(?:https?|ftp|file)?://[^\s/$.?#].[^\s]*"}.get(_name))
+    _pattern(_name, text.PATTERNS[_name] if _name in ("urls", "emails", "dates", "words") else None)
 
 
 @query()
