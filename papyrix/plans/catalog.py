@@ -480,3 +480,15 @@ def overlap_at_k(spark, d):
         return edges.groupBy(F.col(c).alias("item")).count().select("item", F.row_number().over(Window.orderBy(F.desc("count"), "item")).cast("long").alias("rank"))
 
     return evaluate.rank_overlap(ranking("src"), ranking("dst")).withColumn("percent", F.round("percent", 7))
+
+
+@query(f"WITH {_PER}, e AS (SELECT min(ap) AS lo, max(ap) AS hi FROM per) SELECT CASE WHEN hi > lo THEN least(floor((ap - lo) / (hi - lo) * 20), 19)::BIGINT ELSE 0 END AS bin, count(*) AS n FROM (SELECT round(ap, 9) AS ap FROM per), (SELECT round(lo, 9) AS lo, round(hi, 9) AS hi FROM e) GROUP BY bin")
+def metric_histogram(spark, d):
+    return evaluate.histogram(evaluate.per_query(_run(spark, d), _qrels(spark, d)).select(F.round("ap", 9).alias("ap")), "ap")
+
+
+@query(f"WITH {_EDGES} SELECT max(dst) AS last_node, count(*) AS n_edges FROM edges WHERE src IN (SELECT dst FROM edges)")
+def subgraph(spark, d):
+    edges = _edges(spark, d)
+    kept = edges.select(F.col("dst").alias("url")).distinct()
+    return graph.subgraph(edges, kept).agg(F.max("dst").alias("last_node"), F.count(F.lit(1)).alias("n_edges"))
