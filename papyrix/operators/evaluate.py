@@ -55,13 +55,38 @@ def histogram(values: DataFrame, column: str, bins: int = 20) -> DataFrame:
     return values.join(F.broadcast(ends)).select(at.cast("long").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def correlation(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    """n, Pearson's r and Spearman's rho of two columns; average ranks for ties."""
+def correlation(pairs: DataFrame, x: str, y: str, parts: int = 200) -> DataFrame:
+    """n, Pearson's r and Spearman's rho of two columns; average ranks for ties. Rows with a null in either are left out."""
+    rows = pairs.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    ranked = rows.join(average_ranks(rows, "x", parts), "x").join(average_ranks(rows, "y", parts), "y")
+    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("pearson"), F.corr("x_rank", "y_rank").alias("spearman"))
+
+
+def average_ranks(rows: DataFrame, c: str, parts: int = 200) -> DataFrame:
+    """Each different value of a column with its average rank over all rows, as ``c``_rank.
+
+    Values are counted first and cut into at most ``parts`` ranges at quantiles (that many numbers come to the driver).
+    Ranks are exact wherever the cuts fall, and no task sorts more than a range.
+    """
+    values = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+    cuts = values.agg(F.percentile_approx(c, [k / parts for k in range(1, parts)], 10000)).first()[0] or []
+    part = F.size(F.filter(F.array(*[F.lit(v) for v in sorted(set(cuts))]), lambda v: v < F.col(c))) if cuts else F.lit(0)
+    values = values.withColumn("part", part)
+    sizes = values.groupBy("part").agg(F.sum("n").alias("size"))
+    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("part").orderBy(c).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    return values.join(F.broadcast(before), "part").select(c, (F.col("before") + within + (F.col("n") + 1) / 2).alias(f"{c}_rank"))
+
+
+def position_correlation(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """qid, n, rho: Spearman's correlation of the document ids that two runs have at equal positions, for the first k of each."""
+    first = a.where(F.col("rank") <= k).select("qid", "rank", F.col("doc_id").alias("x"))
+    rows = first.join(b.where(F.col("rank") <= k).select("qid", "rank", F.col("doc_id").alias("y")), ["qid", "rank"])
 
     def ranked(c):
-        return F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
+        return F.rank().over(Window.partitionBy("qid").orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("qid", c)) - 1) / 2
 
-    return pairs.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).select("x", "y", ranked("x").alias("rx"), ranked("y").alias("ry")).agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
+    return rows.select("qid", ranked("x").alias("rx"), ranked("y").alias("ry")).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
 
 
 def p_value(r: float, n: int) -> float:

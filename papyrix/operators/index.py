@@ -69,3 +69,15 @@ def decompress(index: DataFrame, gaps: bool = True) -> DataFrame:
     """term, doc_id of a compressed index."""
     rows = index.select("term", F.posexplode(codec.un_vbyte("ids")).alias("at", "gap"))
     return un_gaps(rows, "at").select("term", "doc_id") if gaps else rows.select("term", F.col("gap").alias("doc_id"))
+
+
+def term_ids(vocab: DataFrame) -> DataFrame:
+    """term, term_id: dense ids from 1 in the order of terms.
+
+    Terms are numbered within their first two characters and offset by the counts of smaller ones, a table as long as there
+    are different beginnings, so no task numbers the whole vocabulary.
+    """
+    named = vocab.select("term", F.substring("term", 1, 2).alias("start"))
+    per = named.groupBy("start").agg(F.count(F.lit(1)).alias("n"))
+    before = per.select("start", (F.sum("n").over(Window.orderBy("start")) - F.col("n")).alias("before"))
+    return named.join(before, "start").select("term", (F.col("before") + F.row_number().over(Window.partitionBy("start").orderBy("term"))).alias("term_id"))

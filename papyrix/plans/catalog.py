@@ -177,11 +177,6 @@ def char_profile(spark, d):
     return correlate.profile(_docs(spark, d).select("lang", text.char_ngrams(text.clean_chars(F.col("text")), 1).alias("grams")))
 
 
-@query()
-def bigram_profile(spark, d):
-    return correlate.profile(_docs(spark, d).select("lang", text.char_ngrams(text.clean_chars(F.col("text")), 2).alias("grams")))
-
-
 # pages
 
 
@@ -423,18 +418,18 @@ def rank_corr(spark, d):
     return evaluate.correlation(_table(spark, d, "orders"), "o_totalprice", "o_custkey").select("n", F.round("pearson", 7).alias("pearson"), F.round("spearman", 7).alias("spearman"))
 
 
-@query(f"""WITH gr AS (SELECT doc_id, lang, unnest(string_split(regexp_replace(translate(lower(text), 'áéíóúüÁÉÍÓÚÜ', 'aeiouuAEIOUU'), '[^\\p{{L}}\\p{{M}}_]', '', 'g'), '')) AS gram FROM documents), x AS (SELECT doc_id, gram, count(*) AS x FROM gr WHERE gram <> '' AND doc_id % 5 = 0 GROUP BY ALL), y AS (SELECT lang, gram, count(*) AS y FROM gr WHERE gram <> '' AND doc_id % 5 <> 0 GROUP BY ALL),
+@query(f"""WITH gr AS (SELECT doc_id, lang, unnest(string_split(regexp_replace(translate(lower(text), 'áéíóúüÁÉÍÓÚÜ', 'aeiouuAEIOUU'), '[^\\p{{L}}\\p{{M}}_]', '', 'g'), '')) AS gram FROM documents), x AS (SELECT doc_id, gram, count(*) AS x FROM gr WHERE gram <> '' GROUP BY ALL), y AS (SELECT lang, gram, count(*) AS y FROM gr WHERE gram <> '' AND doc_id % 5 <> 0 GROUP BY ALL),
 l AS (SELECT DISTINCT lang FROM y), dl AS (SELECT DISTINCT doc_id, lang FROM x, l), u AS (SELECT doc_id, lang, gram, x, NULL AS y FROM x, l UNION ALL SELECT doc_id, lang, gram, NULL, y FROM dl JOIN y USING (lang)), p AS (SELECT doc_id, lang, gram, coalesce(sum(x), 0) AS x, coalesce(sum(y), 0) AS y FROM u GROUP BY ALL), r AS (SELECT doc_id, lang, round(corr(x, y), 10) AS r FROM p GROUP BY ALL)
 SELECT doc_id, lang AS lang_pred FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY r DESC, lang) AS k FROM r WHERE r > -1) WHERE k = 1""")
 def langid_char(spark, d):
     grams = _docs(spark, d).select("doc_id", "lang", text.char_ngrams(text.clean_chars(F.col("text")), 1).alias("grams"))
-    return correlate.identify(grams.where("doc_id % 5 = 0"), correlate.profile(grams.where("doc_id % 5 <> 0")))
+    return correlate.identify(grams, correlate.profile(grams))
 
 
 @query()
 def langid_bigram_confusion(spark, d):
     grams = _docs(spark, d).select("doc_id", "lang", text.char_ngrams(text.clean_chars(F.col("text")), 2).alias("grams"))
-    said = correlate.identify(grams.where("doc_id % 5 = 0"), correlate.profile(grams.where("doc_id % 5 <> 0")))
+    said = correlate.identify(grams, correlate.profile(grams))
     return stats.confusion(said.join(grams.select("doc_id", F.col("lang").alias("truth")), "doc_id").withColumnRenamed("lang_pred", "predicted"), ("de", "en", "es", "fr"))
 
 
@@ -453,11 +448,6 @@ def pagerank(spark, d):
     return graph.pagerank(_edges(spark, d)).withColumn("score", F.round("score", 9))
 
 
-@query()
-def hits(spark, d):
-    return graph.hits(_edges(spark, d)).select("node", F.round("authority", 9).alias("authority"), F.round("hub", 9).alias("hub"))
-
-
 @query(f"WITH {_EDGES}, b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), h1 AS (SELECT dst AS node FROM b WHERE src = (SELECT min(src) FROM edges)), h2 AS (SELECT DISTINCT b.dst AS node FROM h1 JOIN b ON b.src = h1.node) SELECT node, CASE WHEN node IN (SELECT node FROM h1) THEN 1 ELSE 2 END AS hops FROM (SELECT node FROM h1 UNION SELECT node FROM h2) WHERE node <> (SELECT min(src) FROM edges)")
 def khop(spark, d):
     edges = _edges(spark, d)
