@@ -69,9 +69,17 @@ def average_ranks(rows: DataFrame, c: str, parts: int = 200) -> DataFrame:
     Ranks are exact wherever the cuts fall, and no task sorts more than a range.
     """
     values = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-    cuts = values.agg(F.percentile_approx(c, [k / parts for k in range(1, parts)], 10000)).first()[0] or []
-    part = F.size(F.filter(F.array(*[F.lit(v) for v in sorted(set(cuts))]), lambda v: v < F.col(c))) if cuts else F.lit(0)
-    values = values.withColumn("part", part)
+    found = values.agg(F.percentile_approx(c, [k / parts for k in range(1, parts)], 10000)).first()[0]
+    cuts = sorted(set(found or []))
+
+    def place(low: int, high: int):
+        """The number of cuts below the value, by halving."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col(c) <= cuts[mid], place(low, mid)).otherwise(place(mid + 1, high))
+
+    values = values.withColumn("part", place(0, len(cuts)))
     sizes = values.groupBy("part").agg(F.sum("n").alias("size"))
     before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
     within = F.sum("n").over(Window.partitionBy("part").orderBy(c).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
