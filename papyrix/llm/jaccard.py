@@ -263,7 +263,10 @@ def candidates(left: Tree, right: Tree, same: bool, sizes, bitmaps, slack, perce
 def dealt(members: DataFrame) -> DataFrame:
     """route, i, j, side, rep: the members (route, rep, n) of each unit of work, a pair of blocks of a group."""
     per_route = members.groupBy("route").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).select("route", F.greatest(F.ceil(F.col("c") / BLOCK_DOCS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    rows = members.join(per_route, "route").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    many, _ = common.stage(per_route.where("blocks > 1"), "blocks")  # large groups only: a row for BLOCK_DOCS members or more, or for BLOCK_SHINGLES
+    many = F.broadcast(many) if many.count() <= 200_000 else many
+    rows = members.join(many, "route", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     return rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("route", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "rep")
 
 
