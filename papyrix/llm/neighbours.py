@@ -3,8 +3,9 @@
 The index is fitted on a bounded sample: cell centres by k-means, and for each pair of components 16 codewords under the
 anisotropic loss, which weighs the part of a quantisation error parallel to its vector more than the part across, since
 that part shifts inner products. Every row is then coded: one cell, half a byte for each pair, its squared norm. A query
-scans the codes of the nearest cells by table look-up (norm - 2 * inner product is its distance but for a constant), and
-the best SURVIVORS of each block of rows are measured exactly, in double precision, on the original vectors.
+scans the codes of the nearest cells by table look-up: the distance to a code, less that of the code from its row, is a
+lower bound of the row's distance. The FIRST rows nearest by code are measured exactly, in double precision, on the original
+vectors, and then all rows of the block whose bound does not exceed the k-th distance found: a block leaves out no neighbour.
 
 Rows meet queries in blocks: a cell's rows are dealt to blocks of about BLOCK rows by a hash, so a cell that holds a third
 of all rows is many blocks; the queries that probe a cell are dealt to blocks of QUERIES.
@@ -29,7 +30,7 @@ PROBE = 0.7  # share of the cells a query scans, but PROBES at least
 PROBES = 12
 BLOCK = 2048
 QUERIES = 512
-SURVIVORS = 32
+FIRST = 32  # rows measured for a first k-th distance
 PARALLEL = 4.0  # weight of the parallel error against the orthogonal one
 PAIR = 2
 
@@ -95,6 +96,11 @@ class Index:
         codes = self._assign(parts, unit, codes).astype(np.uint8)
         return codes[:, 0::2] | codes[:, 1::2] << 4
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The padded vectors that codes stand for."""
+        each = np.stack([codes & 15, codes >> 4], 2).reshape(len(codes), -1)
+        return self.books[np.arange(len(self.books)), each].reshape(len(codes), -1)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(queries, bytes of a code, 256): -2 * inner product of each pair of codewords with the query."""
         parts = padded(q).reshape(len(q), -1, PAIR)
@@ -131,8 +137,10 @@ def _matrix(column) -> np.ndarray:
 
 
 def scan(index: Index, block: dict, queries: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query ids, row ids, exact distances: of each query, the k nearest among a block's rows that its codes let through."""
-    ids, vectors, codes, norms = block["ids"], block["vectors"], block["codes"], block["norms"]
+    """query ids, row ids, exact distances: of each query, the k nearest among a block's rows."""
+    ids, vectors, codes = block["ids"], block["vectors"], block["codes"]
+    made = index.decode(codes)
+    norms, gaps = (made * made).sum(1), np.linalg.norm(padded(vectors) - made, axis=1)
     out: list[list] = [[], [], []]
     for at in range(0, len(queries["ids"]), 64):
         q, names = queries["vectors"][at : at + 64], queries["ids"][at : at + 64]
@@ -141,18 +149,22 @@ def scan(index: Index, block: dict, queries: dict, k: int) -> tuple[np.ndarray,
         for m in range(codes.shape[1]):
             score += tables[:, m][:, codes[:, m]]
         for name, v, s in zip(names, q, score):
-            s[ids == name] = np.inf
-            if len(s) > SURVIVORS:
-                least = np.partition(s, SURVIVORS - 1)[SURVIVORS - 1]
-                low, same = np.flatnonzero(s < least), np.flatnonzero(s == least)
-                pick = np.concatenate((low, same[: SURVIVORS - len(low)]))  # rows are in the order of ids: ties go to the smaller
-            else:
-                pick = np.arange(len(s))
-            pick = pick[ids[pick] != name]
-            far = np.sqrt(((vectors[pick] - v) ** 2).sum(1))
-            best = np.lexsort((ids[pick], far))[:k]
+            rows = np.flatnonzero(ids != name)
+            size = norms[rows] + (v * v).sum()
+            # squared distance to the code, less what single precision may have added
+            low = s[rows] + (v * v).sum() - (codes.shape[1] + 4) * 2.0**-22 * size
+            first = np.argpartition(low, FIRST - 1)[:FIRST] if len(rows) > FIRST else np.arange(len(rows))
+            far = np.full(len(rows), np.inf)
+            far[first] = np.sqrt(((vectors[rows[first]] - v) ** 2).sum(1))
+            kth = np.partition(far, k - 1)[k - 1] if len(rows) >= k else np.inf
+            open_ = ~(low > ((kth + gaps[rows]) * (1 + 1e-9)) ** 2)  # a bound that is not a number rules nothing out
+            open_[first] = False
+            far[open_] = np.sqrt(((vectors[rows[open_]] - v) ** 2).sum(1))
+            open_[first] = True
+            rows, far = rows[open_], far[open_]
+            best = np.lexsort((ids[rows], far))[:k]
             out[0].append(np.full(len(best), name))
-            out[1].append(ids[pick[best]])
+            out[1].append(ids[rows[best]])
             out[2].append(far[best])
     return tuple(np.concatenate(x) if x else np.empty(0) for x in out)
 
@@ -214,7 +226,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, probe: float = PROBE) -> D
             for mine, theirs in zip(b.column(0), b.column(1)):
                 r, q = mine.values, theirs.values
                 x = _matrix(r.field("embedding"))
-                block = {"ids": r.field("vec_id").to_numpy(), "vectors": x, "codes": np.frombuffer(b"".join(r.field("code").to_pylist()), np.uint8).reshape(len(x), -1), "norms": (x * x).sum(1)}
+                block = {"ids": r.field("vec_id").to_numpy(), "vectors": x, "codes": np.frombuffer(b"".join(r.field("code").to_pylist()), np.uint8).reshape(len(x), -1)}
                 a, c, d = scan(index, block, {"ids": q.field("query_id").to_numpy(), "vectors": _matrix(q.field("vector"))}, k)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.float64())], ["query_id", "vec_id", "score"])
 

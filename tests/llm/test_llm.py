@@ -125,6 +125,21 @@ def test_neighbours_recall(spark, edge):
     assert hits >= 0.9 * 30
 
 
+def test_neighbours_in_a_tight_group(spark):
+    r = np.random.default_rng(5)
+    x = r.standard_normal((3000, 16))
+    x[::3] = r.standard_normal(16) + 0.05 * r.standard_normal((1000, 16))  # a third of all rows: near copies
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for n in neighbours.search(rows, lambda i: F.pmod(i, F.lit(100)) == 0).collect():
+        got.setdefault(n.query_id, []).append((n.rank, n.vec_id))
+    assert set(got) == set(range(0, 3000, 100))
+    for q, found in got.items():  # every cell is scanned here, so nothing may be missing
+        far = np.sqrt(((x - x[q]) ** 2).sum(1))
+        far[q] = np.inf
+        assert [v for _, v in sorted(found)] == np.lexsort((np.arange(3000), far))[:10].tolist()
+
+
 def test_archive_reads_back(spark, edge, tmp_path):
     warc.write(common.table(spark, edge, "pages"), str(tmp_path / "w"))
     rows = {r.page_id: r for r in warc.read(spark, str(tmp_path / "w")).collect()}
