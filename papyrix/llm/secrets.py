@@ -1,9 +1,10 @@
 """Secret scans: rules, and a character convolutional network in numpy over every candidate and its surroundings.
 
 Rules find assignments, access ids and hexadecimal runs. The network scores every other run of CANDIDATE characters
-with WINDOW characters around it; one whose calibrated probability reaches the threshold is a further span, of kind
-``cnn``. The network is trained from labelled findings made by ``findings`` (seeded), its logits are calibrated on held-out
-findings by a logistic fit, and the threshold is the highest that keeps RECALL of the held-out secrets.
+in windows of WINDOW characters that overlap along the whole run; one whose greatest calibrated probability reaches the
+threshold is a further span, of kind ``cnn``. The network is trained from labelled findings made by ``findings`` and
+``joined`` (seeded), the greatest logits of held-out findings are calibrated by a logistic fit, and the threshold is the
+highest that keeps RECALL of the held-out secrets.
 
 Defined results: a null text is empty; offsets are code points, ends exclusive; repeated rows are scanned one by one.
 """
@@ -11,6 +12,7 @@ Defined results: a null text is empty; offsets are code points, ends exclusive;
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import string
@@ -29,12 +31,15 @@ _hex = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-WINDOW = 96  # characters the network sees: the candidate's first SEEN and what lies on both sides
+WINDOW = 96  # characters the network sees at a time: up to SEEN of the candidate and what lies on both sides
 SEEN = 48
+STEP = 24  # characters between a long candidate's windows
+BATCH = 256  # windows that go through the network together
 CLASSES = 44
 FILTERS, WIDTH = 24, 5
 RECALL = 0.98
 EXAMPLES = 3000
+JOINED = 2000  # runs made of several parts, some with a key
 
 
 def _classes() -> np.ndarray:
@@ -49,22 +54,40 @@ def _classes() -> np.ndarray:
 _class = _classes()
 
 
-def windows(texts: list[str], spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+def places(a: int, b: int) -> list[int]:
+    """Where the windows of a candidate begin: they overlap, and the last ends with it."""
+    return [*range(a, b - SEEN, STEP), b - SEEN] if b - a > SEEN else [a]
+
+
+def pieces(texts: list[str], spans: list[tuple[int, int]]):
+    """(number of the candidate, its text, its end, where the window begins) of all windows."""
+    for k, (text, (a, b)) in enumerate(zip(texts, spans)):
+        for low in places(a, b):
+            yield k, text, b, low
+
+
+def seen(windows: list) -> tuple[np.ndarray, np.ndarray]:
     """Character classes (n, WINDOW), and flags (n, WINDOW, 3): within the candidate, upper case, digit."""
     side = (WINDOW - SEEN) // 2
-    codes, flags = np.full((len(spans), WINDOW), 32), np.zeros((len(spans), WINDOW, 3), np.float32)
-    for k, (text, (a, b)) in enumerate(zip(texts, spans)):
-        low, mid = max(0, a - side), min(b, a + SEEN)
-        left, inner, right = text[low:a], text[a:mid], text[b : b + WINDOW - side - (mid - a)]
+    codes, flags = np.full((len(windows), WINDOW), 32), np.zeros((len(windows), WINDOW, 3), np.float32)
+    for k, (_, text, b, a) in enumerate(windows):
+        mid = min(b, a + SEEN)
+        left, rest = text[max(0, a - side) : a], text[a : a + WINDOW - side]
         at = side - len(left)
-        raw = np.frombuffer((left + inner + right).encode("utf-32-le", "surrogatepass"), "<u4")[: WINDOW - at]
+        raw = np.frombuffer((left + rest).encode("utf-32-le", "surrogatepass"), "<u4")
         codes[k, at : at + len(raw)] = np.minimum(raw, 128)
-        flags[k, side : side + len(inner), 0] = 1
+        flags[k, side : side + mid - a, 0] = 1
     flags[:, :, 1] = (codes >= 65) & (codes <= 90)
     flags[:, :, 2] = (codes >= 48) & (codes <= 57)
     return _class[codes], flags
 
 
+def windows(texts: list[str], spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes and flags of all windows, and the number of each window's candidate."""
+    made = list(pieces(texts, spans))
+    return (*seen(made), np.array([k for k, *_ in made], np.int64))
+
+
 def _columns(classes: np.ndarray, flags: np.ndarray) -> np.ndarray:
     x = np.concatenate([np.eye(CLASSES, dtype=np.float32)[classes], flags], 2)
     seen = np.lib.stride_tricks.sliding_window_view(x, WIDTH, axis=1)  # n, places, channels, width
@@ -86,8 +109,23 @@ class Network:
         pooled = np.concatenate([np.take_along_axis(h, top[:, None], 1)[:, 0], h.mean(1)], 1)
         return h, top, pooled, pooled @ self.w["out"] + self.w["b"][0]
 
-    def probability(self, classes: np.ndarray, flags: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.forward(_columns(classes, flags))[3] + self.shift, -40, 40)))
+    def logits(self, classes: np.ndarray, flags: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """The greatest logit of each candidate's windows."""
+        best = np.full(owner.max(initial=-1) + 1, -np.inf)
+        for at in range(0, len(owner), BATCH):
+            np.maximum.at(best, owner[at : at + BATCH], self.forward(_columns(classes[at : at + BATCH], flags[at : at + BATCH]))[3])
+        return best
+
+    def probability(self, classes: np.ndarray, flags: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(classes, flags, owner) + self.shift, -40, 40)))
+
+    def judge(self, texts: list[str], spans: list[tuple[int, int]]) -> np.ndarray:
+        """The probability of each candidate; no more than BATCH windows are held at once."""
+        best, todo = np.zeros(len(spans)), pieces(texts, spans)
+        while made := list(itertools.islice(todo, BATCH)):
+            own, owner = np.unique([k for k, *_ in made], return_inverse=True)
+            best[own] = np.maximum(best[own], self.probability(*seen(made), owner))
+        return best
 
     def train(self, classes, flags, labels, passes: int = 6, batch: int = 64, rate: float = 3e-3, seed: int = 5) -> None:
         r, t = np.random.default_rng(seed), 0
@@ -110,8 +148,8 @@ class Network:
                     v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
                     self.w[k] = (self.w[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
 
-    def calibrate(self, classes, flags, labels) -> None:
-        z = self.forward(_columns(classes, flags))[3].astype(float)
+    def calibrate(self, classes, flags, owner, labels) -> None:
+        z = self.logits(classes, flags, owner)
         a, b = 1.0, 0.0
         for _ in range(50):  # Newton steps of a logistic fit with a little ridge
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
@@ -119,7 +157,7 @@ class Network:
             q = p * (1 - p)
             a, b = np.array([a, b]) - np.linalg.solve(np.array([[(q * z * z).sum() + 1e-2, (q * z).sum()], [(q * z).sum(), q.sum() + 1e-2]]), g)
         self.slope, self.shift = float(a), float(b)
-        found = np.sort(self.probability(classes, flags)[labels == 1])
+        found = np.sort(self.probability(classes, flags, owner)[labels == 1])
         self.threshold = max(0.5, float(found[int((1 - RECALL) * len(found))]))
 
 
@@ -152,6 +190,37 @@ def findings(n: int = EXAMPLES, seed: int = 11) -> list[tuple[str, tuple[int, in
     return out
 
 
+def joined(n: int = JOINED, seed: int = 17) -> list[tuple[str, tuple[int, int], tuple[int, int] | None]]:
+    """Long runs: (text, run, where its key is or None). Plain findings joined as paths, dotted names and settings, every
+    second one with a key somewhere among them."""
+    r = random.Random(seed)
+    made = findings(4 * n, seed)
+    keys, plain = ([t[a:b] for t, (a, b), y in made if y == label] for label in (1, 0))
+    words = [x for x in plain if any(c.isalpha() for c in x)]
+    out = []
+    for k in range(n):
+        sign, parts = r.choice("/._-"), [r.choice(words) for _ in range(r.randint(2, 6))]
+        at = r.choice([len(parts), r.randint(0, len(parts))]) if k % 2 else None
+        key = r.choice(keys) if k % 2 else ""
+        before = sign.join(parts[:at])
+        before += (r.choice(["=", sign]) if before and k % 2 else "")
+        after = sign + sign.join(parts[at:]) if k % 2 and at < len(parts) else ""
+        left, right = made[k][0][: made[k][1][0]], made[k][0][made[k][1][1] :]
+        start = len(left) + len(before)
+        out.append((left + before + key + after + right, (len(left), start + len(key) + len(after)), (start, start + len(key)) if key else None))
+    return out
+
+
+def window_labels(spans: list[tuple[int, int]], keys: list) -> np.ndarray:
+    """Of each window 1 if it shows a key or 16 characters of one, 0 if it shows nothing of it, -1 between."""
+    out = []
+    for (a, b), key in zip(spans, keys):
+        for low in places(a, b):
+            shown = min(b, low + SEEN, key[1]) - max(low, key[0]) if key else 0
+            out.append(0 if shown <= 0 else 1 if shown >= min(16, key[1] - key[0]) else -1)
+    return np.array(out)
+
+
 _network: Network | None = None
 
 
@@ -159,13 +228,15 @@ def network() -> Network:
     """The trained network: from the same findings and seeds in every process."""
     global _network
     if _network is None:
-        made = findings()
-        classes, flags = windows([t for t, _, _ in made], [s for _, s, _ in made])
-        labels = np.array([y for _, _, y in made], np.float32)
+        made = [(t, span, span if y else None) for t, span, y in findings()] + joined()
+        random.Random(13).shuffle(made)
         cut = len(made) * 3 // 4
+        texts, spans, keys = zip(*made)
         net = Network()
-        net.train(classes[:cut], flags[:cut], labels[:cut])
-        net.calibrate(classes[cut:], flags[cut:], labels[cut:])
+        classes, flags, _ = windows(texts[:cut], spans[:cut])
+        labels = window_labels(spans[:cut], keys[:cut])
+        net.train(classes[labels >= 0], flags[labels >= 0], labels[labels >= 0].astype(np.float32))
+        net.calibrate(*windows(texts[cut:], spans[cut:]), np.array([k is not None for k in keys[cut:]], np.float32))
         _network = net
     return _network
 
@@ -192,7 +263,7 @@ def _worth(run: str) -> bool:
 
 def scan(texts: list[str], net: Network) -> list[list[tuple[str, int, int]]]:
     """All spans of each text, by start and kind. Candidates of all texts go through the network together."""
-    found, where, pieces, spans = [], [], [], []
+    found, where, of, spans = [], [], [], []
     for k, text in enumerate(texts):
         runs = [m.span() for m in CANDIDATE.finditer(text)]
         base = rules(text, runs)
@@ -200,13 +271,11 @@ def scan(texts: list[str], net: Network) -> list[list[tuple[str, int, int]]]:
         for a, b in runs:
             if _worth(text[a:b]) and not any(x < b and a < y for _, x, y in base):
                 where.append((k, a, b))
-                pieces.append(text)
+                of.append(text)
                 spans.append((a, b))
-    for at in range(0, len(spans), 256):
-        p = net.probability(*windows(pieces[at : at + 256], spans[at : at + 256]))
-        for (k, a, b), one in zip(where[at : at + 256], p):
-            if one >= net.threshold:
-                found[k].append(("cnn", a, b))
+    for (k, a, b), one in zip(where, net.judge(of, spans)):
+        if one >= net.threshold:
+            found[k].append(("cnn", a, b))
     return [sorted(x, key=lambda s: (s[1], KINDS.index(s[0]))) for x in found]
 
 

@@ -182,6 +182,18 @@ def test_secrets():
     assert (p[y == 1] >= secrets.network().threshold).mean() >= 0.95 and (p[y == 0] >= secrets.network().threshold).mean() <= 0.02
 
 
+def test_secrets_far_into_a_run():
+    key = "ghp_A1b2C3d4E5f6G7h8I9j0K1l2M3n4"
+    path = "the/long/path/of/some/common/words/with/other/plain/words/before/it/"
+    texts = ["see " + path + key + " end", "see " + path * 4 + key + "/and/more/plain/words/after/it end", "use a.long.dotted.name.of.some.other.plain.setting.value.name=AbC9xQ7rT2mZ5kLp8WvN end"]
+    for text, found in zip(texts, secrets.scan(texts, secrets.network())):
+        assert [text[a:b] for kind, a, b in found if kind == "cnn"] == [text[4 : text.rindex(" end")]]
+    made = secrets.joined(400, seed=321)
+    p = secrets.network().judge([t for t, *_ in made], [s for _, s, _ in made])
+    y = np.array([k is not None for *_, k in made])
+    assert (p[y] >= secrets.network().threshold).mean() >= 0.95 and (p[~y] >= secrets.network().threshold).mean() <= 0.03
+
+
 def test_language_holds_out(spark):
     d = "/root/testdata/sf0.001"
     rows = language.op2_language_id(spark, d).join(common.table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
