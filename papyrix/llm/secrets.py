@@ -1,9 +1,9 @@
 """Secret scans: rules, and a character convolutional network in numpy over every candidate and its surroundings.
 
-Rules find assignments, access ids and hexadecimal runs. The network scores every other run of CANDIDATE characters
-in windows of WINDOW characters that overlap along the whole run; one whose greatest calibrated probability reaches the
+Rules find assignments, access ids and hexadecimal runs. The network scores every other run of CANDIDATE characters,
+and what the rules' spans leave uncovered in a run, each piece in its place, in windows of WINDOW characters that overlap along the whole run; one whose greatest calibrated probability reaches the
 threshold is a further span, of kind ``cnn``. The network is trained from labelled findings made by ``findings`` and
-``joined`` (seeded), the greatest logits of held-out findings are calibrated by a logistic fit, and the threshold is the
+``joined`` and ``parted`` (seeded), the greatest logits of held-out findings are calibrated by a logistic fit, and the threshold is the
 highest that keeps RECALL of the held-out secrets.
 
 Defined results: a null text is empty; offsets are code points, ends exclusive; repeated rows are scanned one by one.
@@ -40,6 +40,7 @@ FILTERS, WIDTH = 24, 5
 RECALL = 0.98
 EXAMPLES = 3000
 JOINED = 2000  # runs made of several parts, some with a key
+PARTED = 2000  # pieces that a rule's span leaves of a run
 
 
 def _classes() -> np.ndarray:
@@ -158,19 +159,29 @@ class Network:
             a, b = np.array([a, b]) - np.linalg.solve(np.array([[(q * z * z).sum() + 1e-2, (q * z).sum()], [(q * z).sum(), q.sum() + 1e-2]]), g)
         self.slope, self.shift = float(a), float(b)
         found = np.sort(self.probability(classes, flags, owner)[labels == 1])
-        self.threshold = max(0.5, float(found[int((1 - RECALL) * len(found))]))
+        self.threshold = float(found[int((1 - RECALL) * len(found))])
+
+
+#: Parts of made-up words of several languages.
+ONSETS = "b c d f g h j k l m n p r s t v w z bl br ch cl cr dr fl fr gl gr kn pl pr qu sch sh sk sl sp st str th tr tsch".split() + [""] * 8
+VOWELS = "a e i o u a e i o u ai au ea ee ei eu ie io oo ou y".split()
+CODAS = "n r s t l m d ck ch cht ft ld mp nd ng nk nt rd rk rn rt ss st tz ngs ght".split() + [""] * 20
 
 
 def findings(n: int = EXAMPLES, seed: int = 11) -> list[tuple[str, tuple[int, int], int]]:
     """Labelled findings: (text, candidate's span, 1 for a secret). Half are keys of many forms; the rest are card and phone
-    numbers, host names, dates, paths, version strings, long and compound words."""
+    numbers, host names, dates, paths, version strings, long and compound words. Runs of digits of a card's or a phone
+    number's length are no secrets, much longer ones are."""
     r = random.Random(seed)
     word = lambda a=2, b=9: "".join(r.choice(["th", "er", "on", "an", "re", "he", "in", "ed", "de", "la", "que", "sch", "ge", "ei", "ou", "os", "ci", "a", "o", "e"]) for _ in range(r.randint(a, b) // 2 + 1))
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     full = string.ascii_letters + string.digits
+    sound = lambda: r.choice(ONSETS) + r.choice(VOWELS) + r.choice(CODAS)
+    compound = lambda n: "".join(sound() for _ in range(n))
     secret = [
         lambda: pick(full, r.randint(20, 64)), lambda: pick(full + "+/", r.randint(24, 64)) + "=" * r.randint(0, 2), lambda: r.choice(["ghp_", "sk_live_", "xoxb-", "glpat-", "npm_", "pk_test_"]) + pick(full, r.randint(20, 40)),
         lambda: "eyJ" + pick(full, 20) + "." + pick(full, 24) + "." + pick(full + "_-", 30), lambda: "AIza" + pick(full + "_-", 35), lambda: pick("0123456789abcdef", r.choice([32, 40, 64])), lambda: pick("0123456789ABCDEF", r.choice([32, 40])), lambda: pick(full + "_-", r.randint(22, 44)),
+        lambda: pick(string.ascii_lowercase, r.choice([16, 16, r.randint(17, 48)])), lambda: pick(string.ascii_uppercase, r.randint(16, 48)), lambda: pick(string.digits, r.randint(28, 64)),
     ]
     plain = [
         lambda: pick(string.digits, r.randint(16, 22)), lambda: ".".join(word() for _ in range(4)) + ".com", lambda: "mail" + pick(string.digits, 1) + "." + word(6) + ".example.com", lambda: "-".join(word() for _ in range(r.randint(3, 6))), lambda: word(18, 40),
@@ -178,6 +189,7 @@ def findings(n: int = EXAMPLES, seed: int = 11) -> list[tuple[str, tuple[int, in
         lambda: "+" + "-".join(pick(string.digits, 4) for _ in range(4)), lambda: ".".join(pick(string.digits, r.randint(1, 3)) for _ in range(6)), lambda: word(8, 20) + word(8, 20).capitalize() + pick(string.digits, 1), lambda: word(4, 9) + "." + pick(string.digits, 2) + "-mail" + pick(string.digits, 1) + ".example.com",
         lambda: f"{pick('0123456789abcdef', 4)}.{word()}.{word()}.{pick(string.digits, 3)}", lambda: "www." + word(8, 14) + pick(string.digits, 2) + ".example.org/" + word() + "/" + pick(string.digits, 3),
     ]
+    plain += [lambda: compound(r.randint(4, 9)), lambda: compound(r.randint(4, 9)).capitalize(), lambda: compound(r.randint(4, 9)).upper(), lambda: compound(r.randint(4, 7)) + r.choice(".-_=/"), lambda: word(18, 40).capitalize(), lambda: word(16, 40) + r.choice(".-_=/")]
     out = []
     for k in range(n):
         label = k % 2
@@ -211,6 +223,28 @@ def joined(n: int = JOINED, seed: int = 17) -> list[tuple[str, tuple[int, int],
     return out
 
 
+def parted(n: int = PARTED, seed: int = 19) -> list[tuple[str, tuple[int, int], tuple[int, int] | None]]:
+    """Pieces that a rule's span leaves of a run: (text, piece, the piece if it is of a key, else None)."""
+    r = random.Random(seed)
+    made = findings(n, seed)
+    out = []
+    for k, (text, (a, b), label) in enumerate(made):
+        rule = r.choice([lambda: "AKIA" + "".join(r.choice(string.ascii_uppercase + string.digits) for _ in range(16)), lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice([24, 32, 40])))])()
+        body, sign = text[a:b], r.choice("/_.=-")
+        if k % 4 < 2:  # a whole one before or after the rule's span
+            before, after = r.choice([(body + sign, ""), ("", sign + body)])
+        else:  # or one that the rule's span parts
+            at = r.randint(1, len(body) - 1)
+            before, after = body[:at], body[at:]
+            if not label:
+                before, after = before + sign, sign + after
+        one = text[:a] + before + rule + after + text[b:]
+        left, right = (a, a + len(before)), (a + len(before) + len(rule), a + len(before) + len(rule) + len(after))
+        piece = left if before and (not after or r.random() < 0.5) else right
+        out.append((one, piece, piece if label else None))
+    return out
+
+
 def window_labels(spans: list[tuple[int, int]], keys: list) -> np.ndarray:
     """Of each window 1 if it shows a key or 16 characters of one, 0 if it shows nothing of it, -1 between."""
     out = []
@@ -228,14 +262,14 @@ def network() -> Network:
     """The trained network: from the same findings and seeds in every process."""
     global _network
     if _network is None:
-        made = [(t, span, span if y else None) for t, span, y in findings()] + joined()
+        made = [(t, span, span if y else None) for t, span, y in findings()] + joined() + parted()
         random.Random(13).shuffle(made)
         cut = len(made) * 3 // 4
         texts, spans, keys = zip(*made)
         net = Network()
         classes, flags, _ = windows(texts[:cut], spans[:cut])
         labels = window_labels(spans[:cut], keys[:cut])
-        net.train(classes[labels >= 0], flags[labels >= 0], labels[labels >= 0].astype(np.float32))
+        net.train(classes[labels >= 0], flags[labels >= 0], labels[labels >= 0].astype(np.float32), passes=14)
         net.calibrate(*windows(texts[cut:], spans[cut:]), np.array([k is not None for k in keys[cut:]], np.float32))
         _network = net
     return _network
@@ -255,10 +289,15 @@ def rules(text: str, runs: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def _worth(run: str) -> bool:
-    """A candidate for the network has letters and a digit, or both cases beyond its first letter."""
-    digit = any(c.isdigit() for c in run)
-    return (digit and not run.isdigit() and any(c.isalpha() for c in run)) or (run[1:].lower() != run[1:] and run.upper() != run)
+def uncovered(a: int, b: int, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What the rules' spans, in order of their start, leave of a run: itself, or pieces of any length."""
+    out = []
+    for _, x, y in base:
+        if x < b and a < y:
+            if a < x:
+                out.append((a, x))
+            a = max(a, y)
+    return out + [(a, b)] * (a < b)
 
 
 def scan(texts: list[str], net: Network) -> list[list[tuple[str, int, int]]]:
@@ -268,8 +307,8 @@ def scan(texts: list[str], net: Network) -> list[list[tuple[str, int, int]]]:
         runs = [m.span() for m in CANDIDATE.finditer(text)]
         base = rules(text, runs)
         found.append(base)
-        for a, b in runs:
-            if _worth(text[a:b]) and not any(x < b and a < y for _, x, y in base):
+        for run in runs:
+            for a, b in uncovered(*run, base):
                 where.append((k, a, b))
                 of.append(text)
                 spans.append((a, b))
