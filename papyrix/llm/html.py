@@ -3,7 +3,9 @@
 A page is a sequence of tags and of words. Words score positive, tags negative, by how much more often each occurs
 inside than outside the main content of labelled pages; words within elements that labelled pages show only outside it
 (menus, footers, forms, adverts, ...) count as such. One linear scan finds the contiguous run of the highest sum, and the
-text of that run, without such elements and without scripts, styles, comments and markup, is the main text.
+text of that run, without such elements and without scripts, styles, comments and markup, is the main text. Titles, drawings,
+frames, templates, text fields and sources of formulas are left out too where they have an end tag or close themselves;
+without one only the tag itself is, as a browser or its reader would lose the rest of the page. Head needs no end.
 
 Defined results: a null or empty page, or one whose best run is empty, has empty text; of equal runs the first wins; an
 element that never ends is taken to end where its parent does, or where an article or main element begins.
@@ -22,7 +24,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|math|iframe|head|title|select|object)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+_token = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<raw>script|style)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|(?P<self><svg(?=[\s/])[^>]*/>)"
+    r"|<(?P<own>title|textarea|template|svg|iframe|annotation-xml|annotation)(?=[\s/>])[^>]*>(?:(?!<(?:(?P=own)(?=[\s/>])|body[\s>]|/head\s*>|/body\s*>)).)*?</(?P=own)\s*>"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    re.S | re.I,
+)
 _attributes = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _hidden = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
 
@@ -32,6 +39,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NOISE_TAGS = frozenset("nav footer aside form button dialog menu".split())
 NOISE_NAMES = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split())
 MAIN = frozenset(("article", "main"))
+#: Elements of formulas and drawings: their tags say nothing about where the main content is.
+FOREIGN = frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd mstyle mspace mpadded mphantom menclose merror semantics svg g path circle rect line polyline polygon ellipse defs use symbol clippath mask lineargradient radialgradient stop text tspan desc metadata filter image foreignobject pattern marker animate animatetransform".split())
+FOREIGN_BREAKS = frozenset("mtable mtr mtd svg text foreignobject".split())
 
 
 def noisy(name: str, rest: str) -> bool:
@@ -52,16 +62,17 @@ def noisy(name: str, rest: str) -> bool:
 
 def segments(page: str):
     """(feature, text, breaks) in page order: a tag's name, or "word" or "noise" for text; breaks: a tag that ends a block."""
-    at, noise, depth, inside_main = 0, "", 0, 0
+    at, noise, depth, inside_main, title = 0, "", 0, 0, False
     for m in _token.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not title:
             yield ("noise" if noise else "word"), page[at : m.start()], False
         at = m.end()
         name = (m["name"] or "").lower()
+        title = name == "title" and not m["end"]  # one without an end lasts to the next tag
         if not name:
             if m["cdata"]:
                 yield ("noise" if noise else "word"), m["cdata"], False
-            elif m["raw"]:
+            elif m["raw"] or m["own"] or m["self"]:
                 yield "raw", "", True
             continue
         end = bool(m["end"])
@@ -79,10 +90,13 @@ def segments(page: str):
             noise, depth = name, 1
             yield "noise-tag", "", True
             continue
+        if name in FOREIGN:
+            yield "foreign", "", name in FOREIGN_BREAKS
+            continue
         if name in MAIN:
             inside_main = max(0, inside_main + (-1 if end else 1))
         yield name, "", name not in INLINE
-    if at < len(page):
+    if at < len(page) and not title:
         yield ("noise" if noise else "word"), page[at:], False
 
 
@@ -143,7 +157,7 @@ def main_text(page: str | None) -> str:
             total += word * len(text.split())
         elif feature == "noise":
             total += max(noise, -0.2) * len(text.split())  # inside the run they are left out of the text, so they part it little
-        else:
+        elif feature != "foreign":
             total += max(w.get(feature, other), -2.0)
         if total <= 0:
             total, start = 0.0, k + 1

@@ -173,6 +173,18 @@ def test_main_text():
     assert html.main_text(None) == html.main_text("") == ""
 
 
+def test_main_text_of_unclosed_and_foreign_elements():
+    w = " ".join(["word"] * 12)
+    article = lambda x: html.main_text(f"<html><body><nav><a>menu</a></nav><article><p>{w}</p>{x}<p>{w} two</p></article></body></html>")
+    for head in ("<head><title>t</title><body>", "<head><meta charset=x><title>t</title>", "<head><title>t<body>", "<head><title>t</head><body>", "<title>t<body>", "<head><script>'<body>'</script><title>a < b</title></head><body>", "<head><noscript><style>p {}</style></noscript></head><body>"):
+        assert html.main_text(f"<html>{head}<article><p>{w}</p></article><svg><title>icon</title></svg></body>") == w, head
+    for dropped in ("<svg viewBox='0'/>", "<svg viewBox='0'><title>t</title><path d='x'/></svg>", "<svg viewBox='0'><path d='x'/>", "<iframe src=x>", "<iframe src=x>no</iframe>", "<iframe src=x><p>", "<object data=x>", "<select>", "<noscript>", "<math>", "<template><p>no</p></template>", "<textarea>no</textarea>", "<style>p {}</style>", "<script>no</script>"):
+        assert article(dropped) == f"{w} {w} two", dropped
+    for kept, text in (("<p>as <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> is</p>", "as x=2 is"), ("<noscript><p>some text</p></noscript>", "some text"), ("<object data=x><p>some text</p></object>", "some text"), ("<select><option>one<option>two</select>", "one two")):
+        assert article(kept) == f"{w} {text} {w} two", kept
+    assert html.main_text(f"<article><p>{w}</p></article><script>no <p>{w} {w} {w}") == html.main_text(f"<article><p>{w}</p></article><!-- {w} {w}") == w
+
+
 def test_secrets():
     got = secrets.scan(["a token=abc12 Passwd: 'hunter22' " + "0123456789abcdef" * 2, "key ghp_A1b2C3d4E5f6G7h8I9j0K1l2M3n4 end", "4845168114407329 mail6.example.com"], secrets.network())
     assert got[0] == [("assign", 14, 31), ("hex", 33, 65)] and [k for k, *_ in got[1]] == ["cnn"] and got[2] == []
