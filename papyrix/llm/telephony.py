@@ -140,8 +140,14 @@ def decode(media: DataFrame, rate: int = OUT_RATE, keep_pcm: bool = True) -> Dat
     def run(batches):
         import pyarrow as pa
 
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+
+        def made(out):
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)][: 8 + keep_pcm], names[: 8 + keep_pcm])
+
         for batch in batches:
             out: list[list] = [[] for _ in range(9)]
+            held = 0
             for doc, n, x in zip(*(batch.column(k) for k in range(3))):
                 stored = x.as_py()
                 _, _, _, data = parse(stored)
@@ -152,8 +158,11 @@ def decode(media: DataFrame, rate: int = OUT_RATE, keep_pcm: bool = True) -> Dat
                     column.append(value)
                 if keep_pcm:
                     out[8].append(sounds.astype("<i2").tobytes())
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)][: 8 + keep_pcm], names[: 8 + keep_pcm])
+                    held += 2 * len(sounds)
+                    if held >= common.BATCH_BYTES:  # PCM is four times its media
+                        yield made(out)
+                        out, held = [[] for _ in range(9)], 0
+            yield made(out)
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"]
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", pcm binary" * keep_pcm
@@ -163,4 +172,5 @@ def decode(media: DataFrame, rate: int = OUT_RATE, keep_pcm: bool = True) -> Dat
 
 def op9_telephony_media(spark, sf_dir: str) -> DataFrame:
     stored, _ = common.stage(encode(common.table(spark, sf_dir, "documents")), "media")
-    return decode(stored, keep_pcm=False)
+    sounds, _ = common.stage(decode(stored), "pcm")
+    return sounds.drop("pcm")

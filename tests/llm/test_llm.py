@@ -167,6 +167,39 @@ def test_telephony():
     assert telephony.parse(media)[3] == b"abc" and len(telephony.resample(telephony.pcm(media)[1], 8000, 16000)) == 6
 
 
+def test_telephony_stores_pcm(spark, edge, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    found = queries.queries()["op9_telephony_media"](spark, edge)
+    assert "pcm" not in found.columns and found.count() == len(ROWS)
+    kept = [r for p in tmp_path.glob("papyrix/pcm-*") for r in spark.read.parquet(str(p)).collect()]
+    assert len(kept) == len(ROWS)
+    want = {}
+    for doc, text, *_ in ROWS:
+        data = (text or "").encode()
+        x = telephony.mulaw_table()[np.frombuffer(data + bytes(-len(data) % 64 if data else 64), np.uint8)].astype(int)
+        between = np.stack([x, (x + np.append(x[1:], x[-1])) // 2], 1).reshape(-1)  # 8 to 16 kHz
+        want[doc] = between.astype("<i2").tobytes()
+    assert all(bytes(r.pcm) == want[r.doc_id] for r in kept)
+
+
+def test_adpcm_column_of_many_blocks(spark):
+    data = np.random.default_rng(8).integers(0, 256, (40, 36), np.uint8)
+    data[:, 2:4] %= 89
+    media = telephony.wave(telephony.ADPCM, data.tobytes(), block=36, bits=4)
+    want = []
+    for block in data:  # one code after another
+        value, index = int(block[:2].copy().view("<i2")[0]), int(block[2])
+        want.append(value)
+        for code in [c for x in block[4:].tolist() for c in (x & 15, x >> 4)]:
+            step = int(telephony.ADPCM_STEPS[index])
+            change = (step >> 3) + (step >> 2) * bool(code & 1) + (step >> 1) * bool(code & 2) + step * bool(code & 4)
+            value = max(-32768, min(32767, value - change if code & 8 else value + change))
+            index = max(0, min(88, index + int(telephony.ADPCM_INDEX[code])))
+            want.append(value)
+    rows = spark.createDataFrame([(1, len(data.tobytes()), bytearray(media))], "doc_id long, n_bytes long, media binary")
+    assert np.frombuffer(telephony.decode(rows, rate=8000).first().pcm, "<i2").tolist() == want
+
+
 def test_main_text():
     assert html.main_text(PAGES[0][2]) == "Title Some text & more of it"
     assert html.main_text("<body><div class='sidebar'>x y z</div><main><p>One <b>tw</b>o</p><div class='comments'>no</div><p>three</p></main></body>") == "One two three"
