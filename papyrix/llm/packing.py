@@ -1,7 +1,9 @@
 """Best-fit packing by a configuration linear program over the length histogram.
 
 ``pieces`` cuts documents into runs of at most ``capacity`` ids, ``plan`` decides on the driver from the histogram alone
-(at most ``capacity`` numbers, however many pieces there are), ``assign`` gives every piece its place.
+(at most ``capacity`` numbers, however many pieces there are), ``assign`` gives every piece its place. The program is solved
+by multiplicative weights with a bounded knapsack as its pricing, rounded, and solved again for what rounding leaves; the
+few pieces after the last rounding (fewer than a thousandth on the tables here) go by best fit.
 
 Defined results: a null or empty text is one piece that holds the end id only; repeated rows are packed one by one;
 an empty table gives an empty result; other columns of the input are not read.
@@ -21,11 +23,12 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 CAPACITY = 2048
-ROUNDS = 400  # pricing rounds of the linear program
-SLACK = 0  # ids a configuration may leave empty; what fits none so well is left to best fit
-PRICED = 48  # configurations taken from one pricing
-SMALL = 50_000  # so many pieces at most are left for best fit, after the rounded program
-SALT_ROWS = 4_000_000  # pieces of one length a window partition should hold at most
+ROUNDS = 1000  # pricing rounds of the linear program, at most; it ends when every length is covered
+RATE = 1.0  # how fast a length's weight falls with its covered share
+STEP = 0.34  # of a configuration's scarcest demand that one round covers
+WASTE = 0.05  # how far below the best price a configuration may be
+SALTS = 4096  # parts that the pieces of one length are numbered in, at most: the driver holds capacity * SALTS counts
+SALT_ROWS = 4_000_000  # pieces of one length such a part should hold
 
 
 def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -50,67 +53,94 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def knapsack(price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack by dynamic programming: of each capacity, the highest price and the length to take first.
+def items(left: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and numbers of copies that a bounded knapsack chooses from: 1, 2, 4, ... copies and the rest of each length,
+    together no more than there are or than fit."""
+    out = []
+    for n in sorted(left, reverse=True):
+        most, copies = min(left[n], capacity // n), 1
+        while most > 0:
+            out.append((n, min(copies, most)))
+            most -= min(copies, most)
+            copies *= 2
+    lengths, copies = np.array(out, np.int64).reshape(-1, 2).T
+    return lengths, copies
 
-    price[n] is that of a length n, not positive where there is none.
-    """
-    capacity = len(price) - 1
-    value, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        got = value[c - 1 :: -1] + price[1 : c + 1] if c > 1 else value[:1] + price[1:2]
-        k = int(got.argmax())
-        if got[k] > value[c - 1]:
-            value[c], pick[c] = got[k], k + 1
-        else:
-            value[c] = value[c - 1]
-    return value, pick
 
+def knapsack(lengths: np.ndarray, copies: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounded knapsack by dynamic programming: of each capacity the highest price, and the table to read the choice from.
 
-def configuration(pick: np.ndarray, first: int, capacity: int) -> Counter:
-    """The multiset of lengths behind a knapsack's value, with ``first`` put in beforehand."""
-    out, c = Counter({first: 1}), capacity - first
-    while c > 0:
-        if pick[c]:
-            out[int(pick[c])] += 1
-            c -= int(pick[c])
-        else:
-            c -= 1
+    price[n] is that of a length n. Row k + 1 of the table has, for each capacity, the last of the first k + 1 items taken.
+    """
+    value, last = np.zeros(capacity + 1), np.full((len(lengths) + 1, capacity + 1), -1, np.int16)
+    better = np.empty(capacity + 1, bool)
+    for k, (w, worth) in enumerate(zip((lengths * copies).tolist(), (price[lengths] * copies).tolist())):
+        last[k + 1] = last[k]
+        got, here = value[: capacity + 1 - w] + worth, better[w:]
+        np.greater(got, value[w:], out=here)
+        np.copyto(last[k + 1, w:], np.int16(k), where=here)
+        np.maximum(got, value[w:], out=value[w:])
+    return value, last
+
+
+def configuration(last: np.ndarray, lengths: np.ndarray, copies: np.ndarray, c: int) -> dict[int, int]:
+    """The lengths, and how often each, behind a knapsack's value at capacity c."""
+    out: dict[int, int] = {}
+    k = int(last[-1, c])
+    while k >= 0:
+        n, a = int(lengths[k]), int(copies[k])
+        out[n] = out.get(n, 0) + a
+        c -= n * a
+        k = int(last[k, c])
     return out
 
 
-def fractional(demand: np.ndarray, rounds: int = ROUNDS) -> list[tuple[Counter, float]]:
-    """Multiplicative weights for min sum x, A x >= demand, x >= 0, where demand[n] pieces have length n.
+def fractional(left: dict[int, int], capacity: int, seed: int = 0, rounds: int = ROUNDS) -> tuple[dict[tuple, float], float]:
+    """Multiplicative weights for min sum x, A x >= left, x >= 0: configurations with their amounts, and a lower bound of the sum.
 
     A length's price is its size times a weight that falls exponentially as its covered share rises above the least
-    covered one's. Each round prices configurations by one knapsack: with every length put in beforehand, those within
-    a tenth of the best are taken, best first, each as often as a tenth of the scarcest demand in it allows.
+    covered one's. Each round prices configurations by one knapsack. With every length put in beforehand, those within
+    WASTE of the best price are taken, least covered lengths first, each as often as STEP of the scarcest demand in it;
+    a length that has had its step in a round waits for the next. A length is done at its whole demand, so the amounts
+    cover each demand exactly. Whatever the prices are, left * price over the best configuration's price is a lower bound.
     """
-    capacity = len(demand) - 1
-    sizes = np.arange(capacity + 1)
-    there = demand > 0
-    covered, out = np.where(there, 0.0, 1.0), []
+    r = np.random.default_rng(seed)
+    demand = np.zeros(capacity + 1)
+    for n, c in left.items():
+        demand[n] = c
+    covered, full = np.where(demand > 0, 0.0, 1.0), 1 - 1e-9
+    amounts: dict[tuple, float] = {}
+    bound = 0.0
+    there = np.flatnonzero(demand)
+    for prices in (there.astype(float), 1.0 / (capacity // there)):  # two starts that are good where small, or only large, lengths are many
+        price = np.zeros(capacity + 1)
+        price[there] = prices
+        bound = max(bound, float(demand @ price) / knapsack(*items(left, capacity), price, capacity)[0][-1])
     for _ in range(rounds):
-        if covered.min() >= 1:
+        there = np.flatnonzero(covered < full)
+        if not len(there):
             break
-        price = np.where(there & (covered < 1), sizes * np.exp(-2.0 * (covered - covered.min())), -1.0)
-        value, pick = knapsack(price)
-        gain = np.where(price > 0, price + value[capacity - sizes], 0)
-        for n in np.argsort(-gain, kind="stable")[:PRICED]:
-            if gain[n] < 0.9 * gain.max() or gain[n] <= 0:
-                break
-            found = configuration(pick, int(n), capacity)
-            if sum(k * a for k, a in found.items()) < capacity - SLACK:
+        price = np.zeros(capacity + 1)  # the small random part lets equal configurations take turns
+        price[there] = there * np.exp(-RATE * (covered[there] - covered[there].min())) * (1 + 1e-4 * r.random(len(there)))
+        lengths, copies = items({n: left[n] for n in there.tolist()}, capacity)
+        value, last = knapsack(lengths, copies, price, capacity)
+        bound = max(bound, float(demand @ price) / value[-1])
+        gain = price[there] + value[capacity - there]
+        good = there[gain >= (1 - WASTE) * value[-1]]
+        upto = np.minimum(covered + STEP, full)
+        for n in good[np.lexsort((-good, covered[good]))].tolist():
+            if covered[n] >= upto[n]:
                 continue
-            open_ = min((1.0 - covered[k]) * demand[k] / a for k, a in found.items())
-            if open_ <= 0:
+            found = configuration(last, lengths, copies, capacity - n)
+            found[n] = min(found.get(n, 0) + 1, left[n])
+            if any(covered[m] >= upto[m] for m in found) or sum(price[m] * a for m, a in found.items()) < (1 - WASTE) * value[-1]:
                 continue
-            amount = max(0.1 * min(demand[k] / a for k, a in found.items()), 1.0)
-            amount = min(amount, max(open_, 1.0))
-            for k, a in found.items():
-                covered[k] += a * amount / demand[k]
-            out.append((found, amount))
-    return out
+            amount = min(min(STEP, 1 - covered[m]) * left[m] / a for m, a in found.items())
+            for m, a in found.items():
+                covered[m] += a * amount / left[m]
+            key = tuple(sorted(found.items()))
+            amounts[key] = amounts.get(key, 0.0) + amount
+    return amounts, bound
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -138,39 +168,47 @@ class Plan:
 
     rows: dict[int, np.ndarray]  # first, sequence, a sequence's pieces of this length, offset of the first of them
     sequences: int
+    bound: float  # no packing has fewer sequences
+    by_program: int  # pieces that the rounded program places
+    by_best_fit: int  # and those left after it
+
 
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """Configurations, how often each is used, and the intervals of pieces that go to each.
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
-    """Configurations, how often each is used, and the intervals of pieces that go to each."""
+    The program's amounts are rounded down, then up in the order of their fractions where all pieces are still there; the
+    program is solved anew for what is left, until a rounding places nothing. Only then best fit takes the rest.
+    """
     if bad := [n for n in histogram if not 0 < n <= capacity]:
         raise ValueError(f"lengths must be from 1 to {capacity}, not {bad[:3]}")
-    left = Counter({n: c for n, c in histogram.items() if c > 0})
+    left = {n: c for n, c in histogram.items() if c > 0}
     used: list[tuple[dict[int, int], int]] = []
 
-    def use(config: dict[int, int], times: int) -> None:
-        used.append((config, times))
-        for n, a in config.items():
-            left[n] -= a * times
-            if not left[n]:
-                del left[n]
-
-    if left.get(capacity):
-        use({capacity: 1}, left[capacity])
-    first = True
-    while left and (first or sum(left.values()) > SMALL):
-        demand, before = np.array([left[n] for n in range(capacity + 1)], float), sum(left.values())
-        if first:
-            for config, amount in fractional(demand, rounds):
-                if times := min(int(amount), *(left.get(n, 0) // a for n, a in config.items())):
-                    use(dict(config), times)
-        else:  # what rounding has left: best fit on a histogram scaled down to a bounded size, each bin used as often
-            scale = -(-before // SMALL) + 1
-            for b, times in Counter(tuple(b) for b in best_fit([n for n, c in left.items() for _ in range(c // scale)], capacity)).items():
-                use(dict(Counter(b)), times * scale)
-            if sum(left.values()) == before:
-                break
-        first = False
+    def use(config: dict[int, int], times: int) -> int:
+        times = min(times, *(left.get(n, 0) // a for n, a in config.items()))
+        if times > 0:
+            used.append((config, times))
+            for n, a in config.items():
+                left[n] -= a * times
+                if not left[n]:
+                    del left[n]
+        return max(times, 0)
+
+    bound, solved = 0.0, 0
+    if whole := left.get(capacity, 0):
+        use({capacity: 1}, whole)
+    placed = True
+    while left and placed:
+        amounts, low = fractional(left, capacity, seed=solved)
+        bound = bound if solved else whole + low
+        solved += 1
+        order = sorted(amounts.items(), key=lambda x: (-x[1], x[0]))
+        placed = sum([use(dict(c), int(x)) for c, x in order])
+        placed += sum([use(dict(c), 1) for c, x in sorted(order, key=lambda x: (-(x[1] % 1), x[0])) if x % 1])
+    by_program = sum(sum(c.values()) * t for c, t in used)
+    bound = max(bound, float(whole))
     rest = Counter(tuple(b) for b in best_fit([n for n, c in left.items() for _ in range(c)], capacity))
+    by_best_fit = sum(left.values())
     for b, times in sorted(rest.items(), reverse=True):
         use(dict(Counter(b)), times)
     rows: dict[int, list] = {}
@@ -183,17 +221,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
             given[n] += config[n] * times
             offset += n * config[n]
         sequence += times
-    return Plan({n: np.array(x, np.int64) for n, x in rows.items()}, sequence)
+    return Plan({n: np.array(x, np.int64) for n, x in rows.items()}, sequence, bound, by_program, by_best_fit)
 
 
 def assign(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece", "ids_crc32")) -> DataFrame:
     """Add sequence_id and offset to a table with a ``length`` column, which is read twice: stage it before.
 
     Pieces of one length are numbered in salted parts, so a length that a third of the pieces have is no hot key; the
-    driver gets a count for each (length, salt), at most capacity times the number of salts.
+    driver gets a count for each (length, salt), at most capacity * SALTS. Numbering streams over a part's sorted rows, so
+    beyond SALTS * SALT_ROWS pieces of one length parts grow, but none has to fit in memory.
     """
     total = pieces.count()
-    salts = int(min(512, max(16, -(-total // SALT_ROWS))))
+    salts = int(min(SALTS, max(16, -(-total // SALT_ROWS))))
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     counts = np.zeros((capacity + 1, salts), np.int64)
     for row in salted.groupBy("length", "_salt").count().toLocalIterator():
