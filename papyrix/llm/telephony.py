@@ -1,9 +1,13 @@
 """Telephony audio columns: mu-law and A-law by lookup tables, IMA ADPCM by numpy across blocks, resampled PCM.
 
-A payload is stored as a WAVE file whose 8-bit mu-law (or A-law) samples are the payload's bytes, which loses nothing;
-reading parses the file, expands the samples to 16-bit PCM and resamples it.
-
-Defined results: a null text is empty; an empty text is one block of 64 zero bytes; equal texts give equal values.
+A payload is stored as a WAVE file whose mu-law or A-law samples, or whose ADPCM blocks of 64 bytes, are the payload's bytes,
+which loses nothing; reading parses the file, expands it to 16-bit PCM and resamples that. The resampled PCM is stored
+without loss by one lifting step (``lift``), as its odd samples are mostly what their neighbours predict. Which format a
+payload gets is settled by its crc32 (``tag_of``): one in 64 is ADPCM, of the others odd ones are A-law and even ones mu-law.
+
+Defined results: a null text is empty; an empty text is one block of 64 zero bytes; equal texts give equal values; repeated
+rows are stored one by one; a null doc_id stays null; an empty table gives empty tables; other columns of documents are not
+read, so their names can't clash. A last ADPCM block that is cut short gives the samples it has, none if its header is cut.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 RATE, OUT_RATE = 8000, 16000
+BLOCK = 64  # bytes of an ADPCM block; payloads are padded to a multiple of it
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 17  # format tags of WAVE files
 
 
@@ -42,21 +47,34 @@ ADPCM_INDEX = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2)
 ADPCM_STEPS = np.array([7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767])
 
 
+def _changes() -> np.ndarray:
+    """What each code adds to the sample at each step size: an eighth, and a quarter, a half, a whole by its bits; the top bit is the sign."""
+    code, step = np.arange(16), ADPCM_STEPS[:, None]
+    change = (step >> 3) + np.where(code & 1, step >> 2, 0) + np.where(code & 2, step >> 1, 0) + np.where(code & 4, step, 0)
+    return np.where(code & 8, -change, change).astype(np.int32)
+
+
+ADPCM_CHANGE = _changes()
+
+
 def adpcm_decode(data: bytes, block: int) -> np.ndarray:
     """PCM of mono IMA ADPCM: a loop over the codes of a block, each step over all blocks at once."""
-    blocks = np.frombuffer(data[: len(data) // block * block], np.uint8).reshape(-1, block)
+    short = len(data) % block
+    blocks = np.frombuffer(data + bytes(-len(data) % block), np.uint8).reshape(-1, block)
     value = blocks[:, :2].copy().view("<i2")[:, 0].astype(np.int32)
     index = np.minimum(blocks[:, 2], 88).astype(np.int32)
     codes = np.stack([blocks[:, 4:] & 15, blocks[:, 4:] >> 4], 2).reshape(len(blocks), -1)
     out = np.empty((len(blocks), codes.shape[1] + 1), np.int16)
     out[:, 0] = value
     for k in range(codes.shape[1]):
-        code, step = codes[:, k].astype(np.int32), ADPCM_STEPS[index]
-        change = (step >> 3) + np.where(code & 1, step >> 2, 0) + np.where(code & 2, step >> 1, 0) + np.where(code & 4, step, 0)
-        value = np.clip(value + np.where(code & 8, -change, change), -32768, 32767)
+        code = codes[:, k]
+        change = ADPCM_CHANGE[index, code]
+        value = np.clip(value + change, -32768, 32767)
         index = np.clip(index + ADPCM_INDEX[code], 0, 88)
         out[:, k + 1] = value
-    return out.reshape(-1)
+    made = out.reshape(-1)
+    missing = codes.shape[1] + 1 - max(0, 2 * (short - 4) + 1) if short else 0
+    return made[: len(made) - missing]
 
 
 def resample(pcm: np.ndarray, rate: int, out_rate: int) -> np.ndarray:
@@ -70,6 +88,32 @@ def resample(pcm: np.ndarray, rate: int, out_rate: int) -> np.ndarray:
     return ((x[low] * (out_rate - part) + x[np.minimum(low + 1, len(x) - 1)] * part) // out_rate).astype(np.int16)
 
 
+def lift(samples: np.ndarray) -> bytes:
+    """16-bit samples by one lifting step, the same number of bytes: the even samples, then what each odd one differs from its neighbours' mean."""
+    x = samples.astype(np.int32)
+    even, odd = x[::2], x[1::2]
+    return even.astype("<i2").tobytes() + (odd - _between(even)[: len(odd)]).astype("<i2").tobytes()
+
+
+def unlift(data: bytes) -> np.ndarray:
+    """The samples behind ``lift``."""
+    x = np.frombuffer(data, "<i2").astype(np.int32)
+    even, rest = x[: (len(x) + 1) // 2], x[(len(x) + 1) // 2 :]
+    out = np.empty(len(x), np.int16)
+    out[::2], out[1::2] = even, (rest + _between(even)[: len(rest)]).astype(np.int16)
+    return out
+
+
+def _between(even: np.ndarray) -> np.ndarray:
+    return (even + np.append(even[1:], even[-1:])) >> 1
+
+
+def tag_of(payload: bytes) -> int:
+    """The format a payload is stored in, by its crc32."""
+    crc = zlib.crc32(payload)
+    return ADPCM if crc % 64 == 0 else ALAW if crc % 2 else MULAW
+
+
 def wave(tag: int, data: bytes, rate: int = RATE, block: int = 1, bits: int = 8) -> bytes:
     """A mono WAVE file."""
     form = struct.pack("<HHIIHH", tag, 1, rate, rate * block, block, bits) + (b"" if tag == PCM else struct.pack("<H", 0))
@@ -97,16 +141,30 @@ def parse(media: bytes) -> tuple[int, int, int, bytes]:
 _mulaw, _alaw = mulaw_table(), alaw_table()
 
 
-def pcm(media: bytes) -> tuple[int, np.ndarray]:
-    """Rate and 16-bit samples of a mu-law, A-law, ADPCM or PCM file."""
-    tag, rate, block, data = parse(media)
-    if tag in (MULAW, ALAW):
-        return rate, (_mulaw if tag == MULAW else _alaw)[np.frombuffer(data, np.uint8)]
-    if tag == ADPCM:
-        return rate, adpcm_decode(data, block)
-    if tag == PCM:
-        return rate, np.frombuffer(data, "<i2")
-    raise ValueError(f"format {tag} is not known here")
+def pcm(media: list[bytes]) -> list[tuple[bytes, int, np.ndarray]]:
+    """Payload, rate and 16-bit samples of mu-law, A-law, ADPCM or PCM files; ADPCM blocks of all files are decoded together."""
+    parsed = [parse(x) for x in media]
+    out: list = [None] * len(media)
+    by_block: dict[int, list[int]] = {}
+    for k, (tag, rate, block, data) in enumerate(parsed):
+        if tag in (MULAW, ALAW):
+            out[k] = data, rate, (_mulaw if tag == MULAW else _alaw)[np.frombuffer(data, np.uint8)]
+        elif tag == PCM:
+            out[k] = data, rate, np.frombuffer(data, "<i2")
+        elif tag == ADPCM and len(data) % block == 0:
+            by_block.setdefault(block, []).append(k)
+        elif tag == ADPCM:
+            out[k] = data, rate, adpcm_decode(data, block)
+        else:
+            raise ValueError(f"format {tag} is not known here")
+    for block, which in by_block.items():
+        made, at = adpcm_decode(b"".join([parsed[k][3] for k in which]), block), 0
+        for k in which:
+            data = parsed[k][3]
+            n = len(data) // block * (2 * (block - 4) + 1)
+            out[k] = data, parsed[k][1], made[at : at + n]
+            at += n
+    return out
 
 
 def feature(samples: np.ndarray) -> str:
@@ -116,8 +174,8 @@ def feature(samples: np.ndarray) -> str:
     return f"n={len(x)};peak={int(np.abs(x).max(initial=0))};rms={np.sqrt((x * x).sum() / max(len(x), 1)):.3f};zc={crossings};pcm={zlib.crc32(samples.astype('<i2').tobytes()):08x}"
 
 
-def encode(docs: DataFrame, tag: int = MULAW) -> DataFrame:
-    """doc_id, n_bytes and the media column: one WAVE file for each text."""
+def encode(docs: DataFrame, tag: int | None = None) -> DataFrame:
+    """doc_id, n_bytes and the media column: one WAVE file for each text, in the format ``tag`` or the one its payload settles."""
 
     def run(batches):
         import pyarrow as pa
@@ -126,51 +184,45 @@ def encode(docs: DataFrame, tag: int = MULAW) -> DataFrame:
             sizes, media = [], []
             for x in batch.column(1):
                 text = x.as_buffer().to_pybytes() if x.is_valid else b""
+                payload = text + bytes(-len(text) % BLOCK if text else BLOCK)
+                of = tag or tag_of(payload)
                 sizes.append(len(text))
-                media.append(wave(tag, text + bytes(-len(text) % 64 if text else 64)))
+                media.append(wave(of, payload, block=BLOCK, bits=4) if of == ADPCM else wave(of, payload))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     common.arrow_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def decode(media: DataFrame, rate: int = OUT_RATE, keep_pcm: bool = True) -> DataFrame:
-    """Payload and features of each row, and (``keep_pcm``) the resampled 16-bit PCM as a column to store."""
+def decode(media: DataFrame, rate: int = OUT_RATE) -> DataFrame:
+    """Payload, features and the resampled 16-bit PCM (lifted, see ``lift``) of each row of doc_id, n_bytes and media."""
 
     def run(batches):
         import pyarrow as pa
 
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-
-        def made(out):
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)][: 8 + keep_pcm], names[: 8 + keep_pcm])
-
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
-            held = 0
-            for doc, n, x in zip(*(batch.column(k) for k in range(3))):
-                stored = x.as_py()
-                _, _, _, data = parse(stored)
-                of, samples = pcm(stored)
-                sounds = resample(samples, of, rate)
-                row = (doc.as_py(), n.as_py(), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(sounds))
-                for column, value in zip(out, row):
-                    column.append(value)
-                if keep_pcm:
-                    out[8].append(sounds.astype("<i2").tobytes())
-                    held += 2 * len(sounds)
-                    if held >= common.BATCH_BYTES:  # PCM is four times its media
-                        yield made(out)
-                        out, held = [[] for _ in range(9)], 0
-            yield made(out)
+            docs, sizes = (batch.column(k).to_pylist() for k in range(2))
+            at = 0
+            while at < batch.num_rows:  # PCM is four times a mu-law file, eight times an ADPCM file: some files at a time
+                stored, held = [], 0
+                while at + len(stored) < batch.num_rows and (not stored or held < common.BATCH_BYTES // 8):
+                    stored.append(batch.column(2)[at + len(stored)].as_py())
+                    held += len(stored[-1])
+                rows = []
+                for doc, n, x, (data, of, samples) in zip(docs[at:], sizes[at:], stored, pcm(stored)):
+                    sounds = resample(samples, of, rate)
+                    rows.append((doc, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(x), hashlib.sha256(x).hexdigest(), feature(sounds), lift(sounds)))
+                at += len(stored)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"]
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", pcm binary" * keep_pcm
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
     common.arrow_batches(media.sparkSession)
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
 def op9_telephony_media(spark, sf_dir: str) -> DataFrame:
-    stored, _ = common.stage(encode(common.table(spark, sf_dir, "documents")), "media")
-    sounds, _ = common.stage(decode(stored), "pcm")
+    stored, _ = common.stage(encode(common.table(spark, sf_dir, "documents")), "media", level=9)
+    sounds, _ = common.stage(decode(stored), "pcm", level=9)
     return sounds.drop("pcm")

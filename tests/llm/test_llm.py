@@ -164,40 +164,72 @@ def test_telephony():
     data = bytes([0, 0, 0, 0, 0x77, 0x88] * 1)
     assert telephony.adpcm_decode(data, 6).tolist()[:3] == [0, 11, 41]
     media = telephony.wave(telephony.ALAW, b"abc")
-    assert telephony.parse(media)[3] == b"abc" and len(telephony.resample(telephony.pcm(media)[1], 8000, 16000)) == 6
+    assert telephony.parse(media)[3] == b"abc" and len(telephony.resample(telephony.pcm([media])[0][2], 8000, 16000)) == 6
+
+
+def one_by_one(data: bytes, block: int) -> list[int]:
+    """ADPCM, one code after another."""
+    out = []
+    for at in range(0, len(data), block):
+        part = data[at : at + block]
+        if len(part) < 4:
+            break
+        value, index = int.from_bytes(part[:2], "little", signed=True), min(part[2], 88)
+        out.append(value)
+        for code in [c for x in part[4:] for c in (x & 15, x >> 4)]:
+            step = int(telephony.ADPCM_STEPS[index])
+            change = (step >> 3) + (step >> 2) * bool(code & 1) + (step >> 1) * bool(code & 2) + step * bool(code & 4)
+            value = max(-32768, min(32767, value - change if code & 8 else value + change))
+            index = max(0, min(88, index + int(telephony.ADPCM_INDEX[code])))
+            out.append(value)
+    return out
 
 
-def test_telephony_stores_pcm(spark, edge, tmp_path, monkeypatch):
+def test_telephony_query_against_brute_force(spark, edge, tmp_path, monkeypatch):
+    texts = [r[1] for r in ROWS] + [f"text {k} " * (k % 50) for k in range(300)]  # all three formats occur
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "in/documents.parquet"))
     monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
-    found = queries.queries()["op9_telephony_media"](spark, edge)
-    assert "pcm" not in found.columns and found.count() == len(ROWS)
-    kept = [r for p in tmp_path.glob("papyrix/pcm-*") for r in spark.read.parquet(str(p)).collect()]
-    assert len(kept) == len(ROWS)
-    want = {}
-    for doc, text, *_ in ROWS:
+    found = queries.queries()["op9_telephony_media"](spark, str(tmp_path / "in"))
+    assert found.columns == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    got = {r.doc_id: r for r in found.collect()}
+    kept = {r.doc_id: bytes(r.pcm) for p in tmp_path.glob("papyrix/pcm-*") for r in spark.read.parquet(str(p)).collect()}
+    media = {r.doc_id: bytes(r.media) for p in tmp_path.glob("papyrix/media-*") for r in spark.read.parquet(str(p)).collect()}
+    seen = set()
+    for k, text in enumerate(texts):
         data = (text or "").encode()
-        x = telephony.mulaw_table()[np.frombuffer(data + bytes(-len(data) % 64 if data else 64), np.uint8)].astype(int)
-        between = np.stack([x, (x + np.append(x[1:], x[-1])) // 2], 1).reshape(-1)  # 8 to 16 kHz
-        want[doc] = between.astype("<i2").tobytes()
-    assert all(bytes(r.pcm) == want[r.doc_id] for r in kept)
+        payload = data + bytes(-len(data) % 64 if data else 64)
+        r = got[k]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media[k]), hashlib.sha256(media[k]).hexdigest()) and payload in media[k]
+        tag = int.from_bytes(media[k][20:22], "little")
+        seen.add(tag)
+        assert tag == (17 if zlib.crc32(payload) % 64 == 0 else 6 if zlib.crc32(payload) % 2 else 7)
+        x = one_by_one(payload, 64) if tag == 17 else [int((telephony.alaw_table() if tag == 6 else telephony.mulaw_table())[c]) for c in payload]
+        sounds = np.array([y for a, b in zip(x, [*x[1:], x[-1]]) for y in (a, (a + b) // 2)])  # 8 to 16 kHz
+        assert telephony.unlift(kept[k]).tolist() == sounds.tolist()
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(sounds, sounds[1:]))
+        assert r.feature == f"n={len(sounds)};peak={abs(sounds).max()};rms={np.sqrt((sounds.astype(float) ** 2).sum() / len(sounds)):.3f};zc={crossings};pcm={zlib.crc32(sounds.astype('<i2').tobytes()):08x}"
+    assert seen == {6, 7, 17}
+
+
+def test_lifting_loses_nothing():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 2, 3, 64, 1001):
+        x = r.integers(-32768, 32768, n).astype(np.int16)
+        data = telephony.lift(x)
+        assert len(data) == 2 * n and telephony.unlift(data).tolist() == x.tolist()
 
 
 def test_adpcm_column_of_many_blocks(spark):
     data = np.random.default_rng(8).integers(0, 256, (40, 36), np.uint8)
     data[:, 2:4] %= 89
-    media = telephony.wave(telephony.ADPCM, data.tobytes(), block=36, bits=4)
-    want = []
-    for block in data:  # one code after another
-        value, index = int(block[:2].copy().view("<i2")[0]), int(block[2])
-        want.append(value)
-        for code in [c for x in block[4:].tolist() for c in (x & 15, x >> 4)]:
-            step = int(telephony.ADPCM_STEPS[index])
-            change = (step >> 3) + (step >> 2) * bool(code & 1) + (step >> 1) * bool(code & 2) + step * bool(code & 4)
-            value = max(-32768, min(32767, value - change if code & 8 else value + change))
-            index = max(0, min(88, index + int(telephony.ADPCM_INDEX[code])))
-            want.append(value)
-    rows = spark.createDataFrame([(1, len(data.tobytes()), bytearray(media))], "doc_id long, n_bytes long, media binary")
-    assert np.frombuffer(telephony.decode(rows, rate=8000).first().pcm, "<i2").tolist() == want
+    data = data.tobytes()
+    for cut in (0, 1, 31, 32, 33):  # the last block whole or cut short
+        part = data[: len(data) - cut]
+        rows = spark.createDataFrame([(1, len(part), bytearray(telephony.wave(telephony.ADPCM, part, block=36, bits=4)))] * 2, "doc_id long, n_bytes long, media binary")
+        for r in telephony.decode(rows, rate=8000).collect():
+            assert telephony.unlift(bytes(r.pcm)).tolist() == one_by_one(part, 36)
 
 
 def test_main_text():
