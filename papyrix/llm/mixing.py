@@ -8,8 +8,8 @@ reduction tree whose last group of each source leaves one, which goes to the nea
 from its target by half of one document at most, and no group grows with a source.
 
 Defined results: a null text has size 0 and is taken 0 words; a null source is a source of its own, ordered last;
-repeated rows are told apart by a running number and rounded one by one; an empty table gives an empty result. All
-random draws are hashes of ids, so reruns agree.
+repeated rows are told apart by a running number and rounded one by one; an empty table gives an empty result; other
+columns of documents may have any names. All random draws are hashes of ids, so reruns agree.
 """
 
 from __future__ import annotations
@@ -128,15 +128,21 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def apply(docs: DataFrame) -> DataFrame:
-    """Documents, each row as often as the mix takes it; one shuffle of the texts, by (doc_id, source, size)."""
-    names = docs.columns
+    """Documents, each row as often as the mix takes it; one shuffle of the texts, by (doc_id, source, size).
+
+    Rows equal in these are numbered by their text, then by a hash of their other columns (but maps), so reruns agree.
+    """
     keys = ["_doc", "_source", "_size"]
-    own = docs.select("*", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_doc"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("_source"), word_count(F.col("text")).alias("_size"))
-    own = own.withColumn("_rep", F.row_number().over(Window.partitionBy(*keys).orderBy("text")).cast("long"))
+    plain = [c for c in docs.columns if c != "text" and "map<" not in dict(docs.dtypes)[c]]
+    own = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64(*[F.col(f"`{c}`") for c in plain]).alias("_hash"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_doc"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("_source"), word_count(F.col("text")).alias("_size"),
+    )
+    own = own.withColumn("_rep", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_row")["text"], "_hash")).cast("long"))
     chosen = mix(docs).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_doc"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_source"), F.col("size").alias("_size"), F.col("rep").alias("_rep"), "copies").where("copies > 0")
-    return own.join(chosen, [*keys, "_rep"]).withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*names)
+    return own.join(chosen, [*keys, "_rep"]).withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")
 
 
 def op1_source_mixing(spark, sf_dir: str) -> DataFrame:
     made = mix(common.table(spark, sf_dir, "documents"))
-    return made.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return made.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
