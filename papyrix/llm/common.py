@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import ctypes.util
+import re
 import tempfile
 import uuid
 
@@ -20,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset and all
+    run in this process; on a cluster an unset one is an error, as a temporary folder would be another on each machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="papyrix-")
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(remove, spark, found)

@@ -5,7 +5,7 @@ over its most frequent n-grams, of how far each is out of place in the profile;
 
 Defined results: a null text, or one without letters, is ``und`` with score 0, as is every text when nothing could be
 learned; of languages at the same distance the first by code point wins; a null doc_id is not held out; repeated rows
-are predicted one by one.
+are predicted one by one; an empty table gives an empty result; other columns of documents may have any names.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from . import common
 
 PROFILE = 400  # n-grams in a profile and, at most, of a document that are compared
-LEARN = 4000  # documents of a language, about, that its profile is learned from, picked by a hash of the id
-LANGUAGES = 500  # languages, the most frequent, that can be learned
+LEARN = 4000  # documents of a language, about, that its profile is learned from, picked by a hash of id and text
+BROADCAST = 200_000  # languages whose sizes are broadcast, at most
 UND = "und"
 
 _letters: np.ndarray | None = None
@@ -80,14 +80,13 @@ def held_out(doc_id) -> F.Column:
 
 
 def learn(docs: DataFrame) -> Profiles:
-    """Profiles of the languages of documents that are not held out. The driver gets LANGUAGES * PROFILE n-grams at most."""
+    """Profiles of all languages of documents that are not held out. The driver gets PROFILE n-grams of each language."""
     common.arrow_batches(docs.sparkSession)
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
-        return Profiles({})
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, LEARN / n) * (1 << 30)))])[F.col("lang")]
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("lang", "text")
+    sizes, _ = common.stage(known.groupBy("lang").count(), "languages")
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST else sizes
+    share = F.least(F.lit(1.0), F.lit(float(LEARN)) / F.col("count")) * (1 << 30)
+    picked = known.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share).select("lang", "text")
 
     def run(batches):
         import pyarrow as pa
