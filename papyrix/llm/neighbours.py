@@ -8,11 +8,13 @@ lower bound of the row's distance. The FIRST rows nearest by code are measured e
 vectors, and then all rows of the block whose bound does not exceed the k-th distance found: a block leaves out no neighbour.
 
 Rows meet queries in blocks: a cell's rows are dealt to blocks of about BLOCK rows by a hash, so a cell that holds a third
-of all rows is many blocks; the queries that probe a cell are dealt to blocks of QUERIES.
+of all rows is many blocks; the queries that probe a cell are dealt to packs of QUERIES, and a pack is sent to each block of
+its cell: cell and block together are the key that they meet by, the same amount of rows for each.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part; a query has as many neighbours as there are candidates, if those are fewer than k; ties go to the smaller vec_id; a
-row repeated exactly counts once; rows of a null vec_id are no queries and no candidates.
+row repeated exactly counts once; rows of a null vec_id are no queries and no candidates; an empty table, or one without
+usable vectors, gives an empty result; other columns of the table may have any names.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE = 10_000  # vectors, about, that the index is fitted on, picked by a hash of the id
-CELL_ROWS = 1000  # rows a cell should hold
-CELLS = 1024  # cells at most
-PROBE = 0.7  # share of the cells a query scans, but PROBES at least
-PROBES = 12
+SAMPLE = 10_000  # vectors that the index is fitted on, at most: those of the smallest hashes of id and vector
+CELL_ROWS = 200  # rows a cell should hold
+CELLS = 256  # cells at most
+PROBE = 0.5  # share of the cells a query scans, but PROBES at least
+PROBES = 30
 BLOCK = 2048
 QUERIES = 512
+CHUNK = 64  # queries that go through a block together
 FIRST = 32  # rows measured for a first k-th distance
 PARALLEL = 4.0  # weight of the parallel error against the orthogonal one
 PAIR = 2
@@ -142,30 +145,36 @@ def scan(index: Index, block: dict, queries: dict, k: int) -> tuple[np.ndarray,
     made = index.decode(codes)
     norms, gaps = (made * made).sum(1), np.linalg.norm(padded(vectors) - made, axis=1)
     out: list[list] = [[], [], []]
-    for at in range(0, len(queries["ids"]), 64):
-        q, names = queries["vectors"][at : at + 64], queries["ids"][at : at + 64]
+    for at in range(0, len(queries["ids"]), CHUNK):
+        q, names = queries["vectors"][at : at + CHUNK], queries["ids"][at : at + CHUNK]
         tables = index.tables(q)
         score = np.repeat(norms[None].astype(np.float32), len(q), 0)
         for m in range(codes.shape[1]):
             score += tables[:, m][:, codes[:, m]]
-        for name, v, s in zip(names, q, score):
-            rows = np.flatnonzero(ids != name)
-            size = norms[rows] + (v * v).sum()
-            # squared distance to the code, less what single precision may have added
-            low = s[rows] + (v * v).sum() - (codes.shape[1] + 4) * 2.0**-22 * size
-            first = np.argpartition(low, FIRST - 1)[:FIRST] if len(rows) > FIRST else np.arange(len(rows))
-            far = np.full(len(rows), np.inf)
-            far[first] = np.sqrt(((vectors[rows[first]] - v) ** 2).sum(1))
-            kth = np.partition(far, k - 1)[k - 1] if len(rows) >= k else np.inf
-            open_ = ~(low > ((kth + gaps[rows]) * (1 + 1e-9)) ** 2)  # a bound that is not a number rules nothing out
-            open_[first] = False
-            far[open_] = np.sqrt(((vectors[rows[open_]] - v) ** 2).sum(1))
-            open_[first] = True
-            rows, far = rows[open_], far[open_]
-            best = np.lexsort((ids[rows], far))[:k]
-            out[0].append(np.full(len(best), name))
-            out[1].append(ids[rows[best]])
-            out[2].append(far[best])
+        size = (q * q).sum(1)[:, None]
+        # squared distance to the code, less what single precision may have added
+        low = score + size - (codes.shape[1] + 4) * 2.0**-22 * (norms + size)
+        own = names[:, None] == ids
+        low[own] = np.inf
+        n = min(FIRST, len(ids))
+        first = np.argpartition(low, n - 1, axis=1)[:, :n] if n < len(ids) else np.tile(np.arange(n), (len(q), 1))
+        far = np.sqrt(((vectors[first] - q[:, None]) ** 2).sum(2))
+        far[np.take_along_axis(own, first, 1)] = np.inf
+        kth = np.partition(far, k - 1, axis=1)[:, k - 1 : k] if n >= k else np.full((len(q), 1), np.inf)
+        open_ = ~(low > ((kth + gaps) * (1 + 1e-9)) ** 2)  # a bound that is not a number rules nothing out
+        np.put_along_axis(open_, first, False, 1)
+        open_[own] = False
+        of, rows = np.nonzero(open_)
+        more = [np.sqrt(((vectors[rows[x : x + 4096]] - q[of[x : x + 4096]]) ** 2).sum(1)) for x in range(0, len(of), 4096)]
+        of, rows, far = np.concatenate([np.repeat(np.arange(len(q)), n), of]), np.concatenate([first.reshape(-1), rows]), np.concatenate([far.reshape(-1), *more])
+        kept = ~own[of, rows]
+        of, rows, far = of[kept], rows[kept], far[kept]
+        order = np.lexsort((ids[rows], far, of))
+        of = of[order]
+        best = np.arange(len(of)) - np.searchsorted(of, of) < k
+        out[0].append(names[of[best]])
+        out[1].append(ids[rows[order[best]]])
+        out[2].append(far[order[best]])
     return tuple(np.concatenate(x) if x else np.empty(0) for x in out)
 
 
@@ -178,10 +187,11 @@ def search(vectors: DataFrame, is_query, k: int = 10, probe: float = PROBE) -> D
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
-    share = max(1, n // SAMPLE)
-    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(share)) == 0).orderBy("vec_id", "embedding").toPandas()
+    named = F.xxhash64("vec_id", "embedding")
+    share = int(min(1.0, 1.5 * SAMPLE / n) * (1 << 30)) + 1
+    sample = rows.where(F.pmod(named, F.lit(1 << 30)) < share).orderBy(named, "vec_id").limit(SAMPLE).toPandas()
     if not len(sample):
-        sample = rows.limit(SAMPLE).toPandas()
+        sample = rows.orderBy(named, "vec_id").limit(SAMPLE).toPandas()
     index = Index.fit(np.array(sample["embedding"].tolist()), int(min(CELLS, max(1, n // CELL_ROWS))))
     cells = len(index.centres)
 
@@ -215,7 +225,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, probe: float = PROBE) -> D
 
     asked = table.where(is_query(F.col("vec_id"))).select("vec_id", "embedding").distinct().mapInArrow(probing, "query_id long, cell int, vector array<double>")
     blocks = F.create_map(*[F.lit(x) for c, s in enumerate(sizes) for x in (c, int(-(-s // BLOCK) or 1))])[F.col("cell")]
-    dealt = table.groupBy("cell", F.pmod(F.xxhash64("vec_id"), blocks).alias("block")).agg(F.sort_array(F.collect_set(F.struct("vec_id", "embedding", "code"))).alias("rows"))
+    dealt = table.groupBy("cell", F.pmod(F.xxhash64("vec_id"), blocks).cast("int").alias("block")).agg(F.sort_array(F.collect_set(F.struct("vec_id", "embedding", "code"))).alias("rows"))
     parts = int(max(1, -(-n // 100 // QUERIES)))
     packs = asked.groupBy("cell", F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part")).agg(F.sort_array(F.collect_list(F.struct("query_id", "vector"))).alias("queries"))
 
@@ -230,8 +240,8 @@ def search(vectors: DataFrame, is_query, k: int = 10, probe: float = PROBE) -> D
                 a, c, d = scan(index, block, {"ids": q.field("query_id").to_numpy(), "vectors": _matrix(q.field("vector"))}, k)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.float64())], ["query_id", "vec_id", "score"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row here is a block
-    met = dealt.join(packs, "cell").select("rows", "queries").mapInArrow(scanned, "query_id long, vec_id long, score double")
+    sent = packs.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = sent.join(dealt, ["cell", "block"]).select("rows", "queries").mapInArrow(scanned, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return met.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
