@@ -6,7 +6,8 @@ threshold is a further span, of kind ``cnn``. The network is trained from labell
 ``joined`` and ``parted`` (seeded), the greatest logits of held-out findings are calibrated by a logistic fit, and the threshold is the
 highest that keeps RECALL of the held-out secrets.
 
-Defined results: a null text is empty; offsets are code points, ends exclusive; repeated rows are scanned one by one.
+Defined results: a null text is empty; offsets are code points, ends exclusive; repeated rows are scanned one by one; an
+empty table gives an empty result; other columns of documents may have any names.
 """
 
 from __future__ import annotations
@@ -368,4 +369,4 @@ def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     said = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"] != "cnn")
-    return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), of("cnn").alias("n_cnn"), F.sha2(F.encode(said(base), "UTF-8"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+    return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(F.encode(said(base), "UTF-8"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), of("cnn").alias("n_cnn"))
