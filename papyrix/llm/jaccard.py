@@ -12,7 +12,8 @@ what one bitmap can hide in shared bits) reaches the threshold. What is left is
 are linked already through others. Links go to a distributed connected-components loop.
 
 Defined results: a null text, or one without words, has an empty set and links with nothing; fewer than k words are one
-shingle; rows that repeat a doc_id are one node of the graph; a null doc_id has no component id but its class's.
+shingle; rows that repeat a doc_id are one node of the graph (``keep_one`` tells them apart); a null doc_id has no component
+id but its class's; an empty table gives an empty result; other columns of documents may have any names.
 """
 
 from __future__ import annotations
@@ -364,17 +365,26 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that have a smaller doc_id in their group; of rows that repeat a doc_id one stays."""
-    groups, _ = common.stage(join(docs, k, percent), "groups")
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    gone = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not again.limit(1).count():
-        return kept
-    again = F.broadcast(again) if again.count() <= 1_000_000 else again
-    once = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """The documents without those that have a smaller doc_id in their group.
+
+    Rows whose doc_id is null or repeated are documents of their own, told apart by new ids beyond all others (in the order
+    of storage): they are compared by their texts like any other, so equal ones leave one and unrelated ones all stay.
+    """
+    names = docs.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row)
+    again, _ = common.stage(docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("c")).where("c > 1 OR doc_id IS NULL").select("doc_id"), "repeated")
+    if again.limit(1).count():
+        few = F.broadcast(again) if again.count() <= 1_000_000 else again
+        same = plain["doc_id"].eqNullSafe(few["doc_id"])
+        beyond = (docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0) + 1
+        if beyond > 1 << 62:
+            raise ValueError("repeated doc_ids need free ids beyond the largest one")
+        told, _ = common.stage(plain.join(few, same, "left_semi").select((F.lit(max(beyond, 0)) + F.monotonically_increasing_id()).alias("doc_id"), "text", "row"), "told")
+        plain = plain.join(few, same, "left_anti").unionByName(told)
+    groups, _ = common.stage(join(plain, k, percent).where("component_id <> doc_id").select("doc_id"), "gone")
+    gone = F.broadcast(groups) if groups.count() <= 1_000_000 else groups
+    return plain.join(gone, "doc_id", "left_anti").select("row.*")
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
