@@ -46,14 +46,14 @@ def remove(spark: SparkSession, path: str) -> None:
             raise
 
 
-def stage(df: DataFrame, name: str, level: int = 3) -> tuple[DataFrame, str]:
+def stage(df: DataFrame, name: str, **options) -> tuple[DataFrame, str]:
     """Write a table to the shared folder and read it back: cuts lineage, and a lost executor loses nothing.
 
-    Returns the reread table and its path. It lives until the session's end unless ``remove`` is called.
+    ``options`` are the Parquet writer's. Returns the reread table and its path. It lives until the session's end unless ``remove`` is called.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/papyrix/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
     atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 

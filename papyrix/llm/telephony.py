@@ -24,6 +24,7 @@ from . import common
 
 RATE, OUT_RATE = 8000, 16000
 BLOCK = 64  # bytes of an ADPCM block; payloads are padded to a multiple of it
+SMALL = {"parquet.compression.codec.zstd.level": 12, "parquet.page.size": 4 << 20}  # how both columns are written
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 17  # format tags of WAVE files
 
 
@@ -223,6 +224,6 @@ def decode(media: DataFrame, rate: int = OUT_RATE) -> DataFrame:
 
 
 def op9_telephony_media(spark, sf_dir: str) -> DataFrame:
-    stored, _ = common.stage(encode(common.table(spark, sf_dir, "documents")), "media", level=9)
-    sounds, _ = common.stage(decode(stored), "pcm", level=9)
+    stored, _ = common.stage(encode(common.table(spark, sf_dir, "documents")), "media", **SMALL)
+    sounds, _ = common.stage(decode(stored), "pcm", **SMALL)
     return sounds.drop("pcm")
