@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -99,3 +100,93 @@ def gamma(counts: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def un_vbyte(data: pd.Series) -> pd.Series:
     return data.map(vbyte_decode)
+
+
+def vbyte_array(numbers: np.ndarray) -> bytes:
+    """``vbyte_encode`` of an array of numbers that are not negative, a byte place at a time."""
+    n = numbers.astype(np.uint64)
+    sizes = np.ones(len(n), np.int64)
+    for k in range(1, 10):
+        sizes += n >= np.uint64(1 << 7 * k)
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(n) else 0, np.uint8)
+    for k in range(int(sizes.max(initial=0))):
+        here = sizes > k
+        out[ends[here] - sizes[here] + k] = (n[here] >> np.uint64(7 * k)) & np.uint64(127) | np.where(sizes[here] > k + 1, np.uint64(128), np.uint64(0))
+    return out.tobytes()
+
+
+def un_vbyte_array(data: bytes) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8).astype(np.int64)
+    ends = np.flatnonzero(b < 128)
+    if not len(ends):
+        return np.empty(0, np.int64)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    place = np.arange(ends[-1] + 1) - np.repeat(starts, ends - starts + 1)
+    return np.add.reduceat((b[: ends[-1] + 1] & 127) << 7 * place, starts)
+
+
+def elias_array(numbers: np.ndarray) -> bytes:
+    """Gamma codes that can be read back: a zero for each bit but one, then the number's bits. As long as ``gamma_encode``'s."""
+    n = numbers.astype(np.int64)
+    if len(n) and n.min() < 1:
+        raise ValueError("gamma codes start at 1")
+    size = np.floor(np.log2(n)).astype(np.int64) + 1 if len(n) else n
+    ends = np.cumsum(2 * size - 1)
+    bits = np.zeros(int(ends[-1]) if len(n) else 0, np.uint8)
+    for k in range(int(size.max(initial=0))):
+        here = size > k
+        bits[ends[here] - 1 - k] = (n[here] >> k) & 1
+    return np.packbits(bits).tobytes()
+
+
+def un_elias_array(data: bytes, count: int) -> list[int]:
+    """The first ``count`` numbers: a run of zeros says how many bits follow its one."""
+    bits = np.unpackbits(np.frombuffer(data, np.uint8))
+    ones, out, at = np.flatnonzero(bits), [], 0
+    for _ in range(count):
+        k = np.searchsorted(ones, at)
+        size = int(ones[k]) - at + 1
+        out.append(int("".join(map(str, bits[ones[k] : ones[k] + size])), 2) if size > 1 else 1)
+        at = int(ones[k]) + size
+    return out
+
+
+def _flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the lists, and how many each list has."""
+    sizes = lists.map(len).to_numpy(np.int64)
+    return np.concatenate([np.asarray(x, np.int64) for x in lists]) if len(lists) else np.empty(0, np.int64), sizes
+
+
+def _cut(data: bytes, sizes: np.ndarray) -> pd.Series:
+    ends = np.cumsum(sizes)
+    return pd.Series([data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())], dtype=object)
+
+
+@F.pandas_udf(T.BinaryType())
+def vbyte_gaps(ids: pd.Series) -> pd.Series:
+    numbers, sizes = _flat(ids)
+    gaps = np.diff(numbers, prepend=0)
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    gaps[starts] = numbers[starts]
+    n_bytes = np.ones(len(gaps), np.int64)
+    for k in range(1, 10):
+        n_bytes += gaps >= 1 << 7 * k
+    upto = np.concatenate(([0], np.cumsum(n_bytes)))
+    ends = np.cumsum(sizes)
+    return _cut(vbyte_array(gaps), upto[ends] - upto[ends - sizes])
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def un_vbyte_gaps(data: pd.Series) -> pd.Series:
+    return data.map(lambda x: np.cumsum(un_vbyte_array(x)))
+
+
+@F.pandas_udf(T.BinaryType())
+def elias(counts: pd.Series) -> pd.Series:
+    return counts.map(lambda x: elias_array(np.asarray(x, np.int64)))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def un_elias(data: pd.Series, count: pd.Series) -> pd.Series:
+    return pd.Series([un_elias_array(x, n) for x, n in zip(data, count)])

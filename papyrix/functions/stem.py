@@ -73,23 +73,30 @@ def _cvc(w: str) -> bool:
     return len(w) > 2 and _shape(w)[-3:] == "cvc" and w[-1] not in "wxy"
 
 
-#: Endings, what replaces them, and whether the word is looked at again (+), is finished (.), or only if whole (*).
-LANCASTER = "ies:y. ied:y. eed:ee. ing:+ ed:+ ers:+ er:+ ly:+ ness:+ ment:+ ation:+ ions:+ ion:+ ity:+ ive:+ able:+ ible:+ ance:+ ence:+ ous:+ ful:+ ism:+ ist:+ ize:+ ise:+ al:+ ic:+ est:+ ss:ss. s:+ e:. y:i."
+#: The published rules. An ending (reversed), * if only of a whole word, how many letters go, what is added, > to go on or . to stop.
+LANCASTER = """
+ai*2. a*1. bb1. city3s. ci2> cn1t> dd1. dei3y> deec2ss. dee1. de2> dooh4> e1> feil1v. fi2> gni3> gai3y. ga2> gg1. ht*2. hsiug5ct. hsi3> i*1. i1y>
+ji1d. juf1s. ju1d. jo1d. jeh1r. jrev1t. jsim2t. jn1d. j1s. lbaifi6. lbai4y. lba3> lbi3. lib2l> lc1. lufi4y. luf3> lu2. lai3> lau3> la2> ll1.
+mui3. mu*2. msi3> mm1. nois4j> noix4ct. noi3> nai3> na2> nee0. ne2> nn1. pihs4> pp1. re2> rae0. ra2. ro2> ru2> rr1. rt1> rei3y> sei3y> sis2. si2>
+ssen4> ss0. suo3> su*2. s*1> s0. tacilp4y. ta2> tnem4> tne3> tna3> tpir2b. tpro2b. tcud1. tpmus2. tpec2iv. tulo2v. tsis0. tsi3> tt1. uqi3. ugo1.
+vis3j> vie0. vi2> ylb1> yli3y> ylp0. yl2> ygo1. yhp1. ymo1. ypo1. yti3> yte3> ytl2. yrtsi5. yra3> yro3> yfi3. ycn2t> yca3> zi2> zy1s.
+"""
+_rules = [(m[1][::-1], bool(m[2]), int(m[3]), m[4], m[5] == ">") for m in re.finditer(r"([a-z]+)(\*?)(\d)([a-z]*)([>.])", LANCASTER)]
+_by_letter = {c: [r for r in _rules if r[0].endswith(c)] for c in "abcdefghijklmnopqrstuvwxyz"}
 
 
 def lancaster(word: str) -> str:
-    """Endings are cut again and again while at least two letters with a vowel (three after a consonant) are left."""
-    w = word.lower()
-    rules = [(a, b[:-1], b[-1]) for a, b in (x.split(":") for x in LANCASTER.split())]
-    again = True
-    while again:
-        again = False
-        for end, new, what in rules:
-            if w.endswith(end):
-                stem = w[: len(w) - len(end)] + new
-                if len(stem) >= (2 if stem[:1] in tuple("aeiou") else 3) and re.search("[aeiouy]", stem):
-                    again = what == "+" and stem != w
-                    w = stem
+    """The first rule whose ending fits and that leaves two letters after a vowel, or three with a vowel among the second and
+    third, is applied, and so on until a rule stops or none fits."""
+    w = whole = word.lower()
+    on = True
+    while on and w:
+        on = False
+        for end, intact, cut, new, more in _by_letter.get(w[-1], ()):
+            left = len(w) - cut
+            fits = left >= 2 if w[0] in "aeiouy" else left >= 3 and (w[1] in "aeiouy" or w[2] in "aeiouy")
+            if w.endswith(end) and fits and (not intact or w == whole):
+                w, on = w[:left] + new, more
                 break
     return w
 

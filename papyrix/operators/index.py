@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import codec
 
+BLOCK_IDS = 65536  # document ids that a block of compressed postings spans
+
 
 def tokens(docs: DataFrame, terms: Column) -> DataFrame:
     """doc_id, pos, term in text order."""
@@ -18,6 +20,20 @@ def postings(docs: DataFrame, terms: Column) -> DataFrame:
     return docs.select("doc_id", F.explode(terms).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def postings_of(docs: DataFrame, terms: Column, wanted: list[str] | DataFrame) -> DataFrame:
+    """The postings of some terms (a list, or a small table with ``term``): no other token is shuffled."""
+    if isinstance(wanted, DataFrame):
+        rows = docs.select("doc_id", F.explode(terms).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    else:
+        rows = docs.select("doc_id", F.explode(F.filter(terms, lambda t: t.isin(*wanted))).alias("term"))
+    return rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def lengths(docs: DataFrame, terms: Column) -> DataFrame:
+    """doc_id, dl (number of tokens) of documents that have any, without a shuffle; doc_id must not repeat."""
+    return docs.select("doc_id", F.size(terms).cast("long").alias("dl")).where("dl > 0")
+
+
 def vocabulary(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
@@ -71,6 +87,24 @@ def decompress(index: DataFrame, gaps: bool = True) -> DataFrame:
     return un_gaps(rows, "at").select("term", "doc_id") if gaps else rows.select("term", F.col("gap").alias("doc_id"))
 
 
+def compress_blocks(posts: DataFrame) -> DataFrame:
+    """term, block, df, ids, counts: the compressed index in blocks of BLOCK_IDS document ids, so no row grows with a term.
+
+    ids are the gaps of a block's documents (from the block's first possible id on) in variable-byte codes, counts gamma
+    codes that can be read back.
+    """
+    block = F.floor(F.col("doc_id") / BLOCK_IDS).cast("long")
+    lists = posts.groupBy("term", block.alias("block")).agg(F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("l"))
+    within = F.transform(F.col("l.doc_id"), lambda x: x - F.col("block") * BLOCK_IDS)
+    return lists.select("term", "block", "df", codec.vbyte_gaps(within).alias("ids"), codec.elias(F.col("l.tf")).alias("counts"))
+
+
+def decompress_blocks(index: DataFrame) -> DataFrame:
+    """term, doc_id, tf of compressed blocks."""
+    rows = index.select("term", "block", F.arrays_zip(codec.un_vbyte_gaps("ids").alias("id"), codec.un_elias("counts", "df").alias("tf")).alias("x"))
+    return rows.select("term", "block", F.explode("x").alias("x")).select("term", (F.col("block") * BLOCK_IDS + F.col("x.id")).alias("doc_id"), F.col("x.tf").alias("tf"))
+
+
 def term_ids(vocab: DataFrame) -> DataFrame:
     """term, term_id: dense ids from 1 in the order of terms.
 

@@ -18,12 +18,15 @@ def matches(posts: DataFrame, queries: DataFrame) -> DataFrame:
     return posts.join(queries, "term")
 
 
-def cosine(posts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Raw counts, norms over whole documents and over the query's terms that the vocabulary has."""
+def cosine(posts: DataFrame, queries: DataFrame, k: int, norms_of: DataFrame | None = None) -> DataFrame:
+    """Raw counts, norms over whole documents and over the query's terms that the vocabulary has.
+
+    posts may hold the query's terms only where ``norms_of`` has the postings of all.
+    """
     hits = matches(posts, queries).groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * F.col("tf")).alias("dot"))
     known = queries.join(posts.select("term").distinct(), "term", "left_semi")
     norms = known.groupBy("qid").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qnorm"))
-    scored = hits.join(index.doc_stats(posts).select("doc_id", "norm"), "doc_id").join(norms, "qid")
+    scored = hits.join(index.doc_stats(norms_of if norms_of is not None else posts).select("doc_id", "norm"), "doc_id").join(norms, "qid")
     return top(scored.select("qid", "doc_id", (F.col("dot") / (F.col("qnorm") * F.col("norm"))).alias("score")), k)
 
 
@@ -53,9 +56,13 @@ def vector_search(posts: DataFrame, queries: DataFrame, n_docs: int, k: int) ->
     return top(hits.join(qnorm, "qid").select("qid", "doc_id", (F.col("dot") / (one("qnorm") * one("dnorm"))).alias("score")), k)
 
 
-def _scored(posts: DataFrame, queries: DataFrame, formula: Column, k: int) -> DataFrame:
-    """Sum of a formula over df, cf, tf, qtf, dl and the collection's n, tokens, avdl (one row, broadcast)."""
-    stats = posts.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+def _scored(posts: DataFrame, queries: DataFrame, formula: Column, k: int, lengths: DataFrame | None) -> DataFrame:
+    """Sum of a formula over df, cf, tf, qtf, dl and the collection's n, tokens, avdl (one row, broadcast).
+
+    posts may hold the queries' terms only where ``lengths`` (doc_id, dl, of all documents with terms) is given: then no
+    other posting is made.
+    """
+    stats = posts.groupBy("doc_id").agg(F.sum("tf").alias("dl")) if lengths is None else lengths
     whole = stats.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("tokens"), F.avg("dl").alias("avdl"))
     terms = posts.join(queries.select("term").distinct(), "term", "left_semi")
     rows = terms.join(index.vocabulary(terms), "term").join(queries, "term").join(stats, "doc_id").join(F.broadcast(whole))
@@ -65,17 +72,17 @@ def _scored(posts: DataFrame, queries: DataFrame, formula: Column, k: int) -> Da
 K1, B, K3, LAMBDA = 1.2, 0.75, 8.0, 0.15
 
 
-def bm25(posts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def bm25(posts: DataFrame, queries: DataFrame, k: int, lengths: DataFrame | None = None) -> DataFrame:
     c = F.col
     idf = F.log2((c("n") - c("df") + 0.5) / (c("df") + 0.5))
-    return _scored(posts, queries, (K3 + 1) * c("qtf") / (K3 + c("qtf")) * c("tf") / (c("tf") + K1 * (1 - B + B * c("dl") / c("avdl"))) * idf, k)
+    return _scored(posts, queries, (K3 + 1) * c("qtf") / (K3 + c("qtf")) * c("tf") / (c("tf") + K1 * (1 - B + B * c("dl") / c("avdl"))) * idf, k, lengths)
 
 
-def tfidf_robertson(posts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def tfidf_robertson(posts: DataFrame, queries: DataFrame, k: int, lengths: DataFrame | None = None) -> DataFrame:
     c = F.col
-    return _scored(posts, queries, c("qtf") * K1 * c("tf") / (c("tf") + K1 * (1 - B + B * c("dl") / c("avdl"))) * F.log2(c("n") / c("df") + 1), k)
+    return _scored(posts, queries, c("qtf") * K1 * c("tf") / (c("tf") + K1 * (1 - B + B * c("dl") / c("avdl"))) * F.log2(c("n") / c("df") + 1), k, lengths)
 
 
-def hiemstra(posts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def hiemstra(posts: DataFrame, queries: DataFrame, k: int, lengths: DataFrame | None = None) -> DataFrame:
     c = F.col
-    return _scored(posts, queries, c("qtf") * F.log2(1 + LAMBDA * c("tf") * c("tokens") / ((1 - LAMBDA) * c("cf") * c("dl"))), k)
+    return _scored(posts, queries, c("qtf") * F.log2(1 + LAMBDA * c("tf") * c("tokens") / ((1 - LAMBDA) * c("cf") * c("dl"))), k, lengths)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import boolean, evaluate, graph, index, rank, stats
+from ..operators import boolean, evaluate, graph, index, rank, stats, stored
+from ..sources import shared
 from . import catalog as c
 from .catalog import query
 
@@ -103,9 +104,54 @@ def gamma_encode(spark, d):
     return index.compress(c._posts(spark, d)).select("term", F.length("counts").cast("long").alias("n_bytes"))
 
 
-@query(f"WITH {c._POST} SELECT doc_id FROM post WHERE term = 'der'")
+def _stored(spark, d) -> str:
+    """The stored index of the documents, by the basic tokeniser."""
+    path = shared.new_path(spark, "index")
+    stored.build(c._docs(spark, d), c._tokens(), path)
+    return path
+
+
+@query(f"WITH {c._POST} SELECT doc_id::VARCHAR AS name, doc_id, tf FROM post WHERE term = 'der'")
 def compressed_lookup(spark, d):
-    return index.decompress(index.compress(c._posts(spark, d).where("term = 'der'"))).select("doc_id")
+    return stored.lookup(spark, _stored(spark, d), "der")
+
+
+@query(f"WITH {c._POST} SELECT term, doc_id, tf FROM post")
+def compress_blocks(spark, d):
+    return index.decompress_blocks(index.compress_blocks(c._posts(spark, d)))
+
+
+@query(f"WITH {c._VOCAB} SELECT term, row_number() OVER (ORDER BY term) AS term_id, df, cf FROM vocab")
+def bsbi_build(spark, d):
+    return stored.load(spark, _stored(spark, d))["vocabulary"]
+
+
+@query(f"WITH {c._POST}, s AS (SELECT doc_id, count(*) AS n_terms, sum(tf)::BIGINT AS n_tokens, sqrt(sum(tf * tf)) AS norm FROM post GROUP BY doc_id) SELECT DISTINCT d.doc_id, d.doc_id::VARCHAR AS name, coalesce(n_terms, 0) AS n_terms, coalesce(n_tokens, 0) AS n_tokens, round(coalesce(norm, 0), 9) AS norm FROM documents d LEFT JOIN s USING (doc_id)")
+def load_dicts(spark, d):
+    return stored.load(spark, _stored(spark, d))["documents"].withColumn("norm", F.round("norm", 9))
+
+
+_BOOL = f"WITH {c._POST}, f AS (SELECT doc_id, bool_or(term = 'the') AS a, bool_or(term = 'of') AS b, bool_or(term = 'und') AS c FROM post GROUP BY doc_id) SELECT d.doc_id FROM documents d LEFT JOIN f USING (doc_id) WHERE (coalesce(a, false) AND coalesce(b, false)) OR NOT coalesce(c, false)"
+
+
+@query(_BOOL)
+def bool_disk(spark, d):
+    return stored.search(spark, _stored(spark, d), "(the & of) | ~und")
+
+
+@query(_BOOL)
+def bool_memory(spark, d):
+    return stored.search(spark, _stored(spark, d), "(the & of) | ~und", in_memory=True)
+
+
+@query(f"WITH {c._POST}, r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, floor(sqrt(count(*) OVER ()))::BIGINT AS s FROM post WHERE term = 'the'), p AS (SELECT place, doc_id, lead(doc_id) OVER (ORDER BY place) AS skip_to FROM r WHERE place % s = 0) SELECT * FROM p WHERE skip_to IS NOT NULL")
+def skiplist_get(spark, d):
+    return stored.skips_of(spark, _stored(spark, d), "the").withColumnRenamed("at", "place")
+
+
+@query(f"WITH {c._POST} SELECT doc_id, doc_id IN (SELECT doc_id FROM post WHERE term = 'de') AS found FROM post WHERE term = 'the'")
+def skiplist_probe(spark, d):
+    return stored.has(spark, _stored(spark, d), "de", c._some(spark, d, ["the"]))
 
 
 @query(f"WITH {c._RANKED}, f AS (SELECT regr_slope(ln(cf), ln(rank)) AS a, exp(regr_intercept(ln(cf), ln(rank))) AS k FROM ranked) SELECT rank, round(k * pow(rank, a), 4) AS predicted FROM ranked, f")
@@ -125,7 +171,7 @@ def heaps_predicted(spark, d):
 
 def _boolean(name: str, expression: str, sql: str) -> None:
     def run(spark, d):
-        return boolean.evaluate(c._posts(spark, d), c._docs(spark, d), expression)
+        return boolean.evaluate(c._some(spark, d, ["the", "und"]), c._docs(spark, d), expression)
 
     run.__name__ = name
     query(f"WITH {c._POST}, a AS (SELECT doc_id FROM post WHERE term = 'the'), b AS (SELECT doc_id FROM post WHERE term = 'und') {sql}")(run)
@@ -156,7 +202,7 @@ _AT = "(SELECT a.qid, 50 AS k, a.doc_id AS x, b.doc_id AS y FROM run a JOIN run2
 
 @query(f"WITH {c._RUN}, {_SECOND} SELECT qid, k::INT AS k, count(*) AS n, round(corr(rx, ry), 7) AS rho FROM (SELECT qid, k, rank() OVER (PARTITION BY qid, k ORDER BY x) AS rx, rank() OVER (PARTITION BY qid, k ORDER BY y) AS ry FROM {_AT}) GROUP BY qid, k HAVING count(*) > 1")
 def rank_corr_topk(spark, d):
-    first, second = c._run(spark, d), rank.tfidf_robertson(c._posts(spark, d), c._topics(spark, d).drop("pos"), 1000)
+    first, second = c._run(spark, d), rank.tfidf_robertson(c._some(spark, d, c._topics(spark, d)), c._topics(spark, d).drop("pos"), 1000, c._lengths(spark, d))
     out = None
     for k in (10, 25, 50):
         one = evaluate.position_correlation(first, second, k).where("n > 1").select("qid", F.lit(k).alias("k"), "n", F.round("rho", 7).alias("rho"))
@@ -229,7 +275,7 @@ def depth_distribution(spark, d):
     return graph.depth_distribution(_bfs(spark, d), 3).select("depth", F.col("pages").cast("long").alias("pages"), F.round("share", 9).alias("share"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_BFS} SELECT url, depth::INT AS depth FROM seen ORDER BY depth, url LIMIT 60")
 def crawl_total_cap(spark, d):
-    """The cap of 500 pages is the crawl's own; which pages it keeps follows the queue."""
-    return _bfs(spark, d, 500).select("url", "depth")
+    """The crawl stops at its cap, here of 60 pages of the 150 within reach, in the order of the queue."""
+    return _bfs(spark, d, 60).select("url", "depth")

@@ -19,12 +19,17 @@ def numbered_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bytes_as_text(spark: SparkSession, path: str, charset: str = "UTF-8", drop_invalid: bool = True, glob: str = "*") -> DataFrame:
-    """name, text of files in a charset; bytes that are not valid UTF-8 are dropped rather than replaced."""
+    """name, text of files in a charset; bytes that are not valid UTF-8 are dropped rather than replaced, a U+FFFD of the file's stays.
+
+    Genuine ones are held as the noncharacter U+FDD0 meanwhile, which no text is to hold.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     if charset.upper() != "UTF-8":
         return rows.select(F.col("path").alias("name"), F.decode("content", charset).alias("text"))
-    text = F.expr("make_valid_utf8(CAST(content AS STRING))")
-    return rows.select(F.col("path").alias("name"), (F.translate(text, "�", "") if drop_invalid else text).alias("text"))
+    if not drop_invalid:
+        return rows.select(F.col("path").alias("name"), F.expr("make_valid_utf8(CAST(content AS STRING))").alias("text"))
+    held = F.encode(F.replace(F.decode("content", "ISO-8859-1"), F.lit("\xef\xbf\xbd"), F.lit("\xef\xb7\x90")), "ISO-8859-1")
+    return rows.select(F.col("path").alias("name"), held.alias("content")).select("name", F.translate(F.expr("make_valid_utf8(CAST(content AS STRING))"), "\ufdd0\ufffd", "\ufffd").alias("text"))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -55,6 +60,32 @@ def write_terms(vocab: DataFrame, path: str) -> None:
     vocab.orderBy("term").select(F.concat_ws(" ", "term", "cf", "df").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_words(words: DataFrame, path: str, column: str = "term") -> None:
+    """A word a line, in order."""
+    words.select(F.col(column).cast("string").alias("value")).orderBy("value").write.mode("overwrite").text(path)
+
+
+def write_stats(stats: DataFrame, path: str) -> None:
+    """Lines ``name value`` of a table of one row."""
+    stats.select(F.explode(F.array(*[F.concat_ws(" ", F.lit(c), F.col(c).cast("string")) for c in stats.columns])).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def folder_size(spark: SparkSession, path: str) -> DataFrame:
+    """One row: bytes of all files under a folder."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
+
+
+def qrels(spark: SparkSession, path: str) -> DataFrame:
+    """qid, doc_id, rel of judgement files: lines ``qid any doc_id rel``."""
+    p = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).where(F.trim("value") != "").select(F.element_at(p, 1).alias("qid"), F.element_at(p, 3).alias("doc_id"), F.element_at(p, 4).cast("int").alias("rel"))
+
+
+def topics(spark: SparkSession, path: str) -> DataFrame:
+    """qid, query of topic files: lines ``qid<tab or space>query``."""
+    return spark.read.text(path).where(F.trim("value") != "").select(F.regexp_extract("value", r"^\s*(\S+)", 1).alias("qid"), F.trim(F.regexp_replace("value", r"^\s*\S+\s*", "")).alias("query"))
+
+
 def write_csv(rows: DataFrame, path: str, *order: str) -> None:
     rows.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
 
