@@ -70,8 +70,8 @@ def _asked(spark) -> DataFrame:
 
 
 def _topics(spark, d) -> DataFrame:
-    """qid, term, qtf, pos: the first three terms of each benchmark text."""
-    terms = _table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.posexplode(F.slice(text.tok_basic(F.col("text"), fold=True), 1, 3)).alias("pos", "term"))
+    """qid, term, qtf, pos (of the first time): the terms of each whole benchmark text."""
+    terms = _table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.posexplode(text.tok_basic(F.col("text"), fold=True)).alias("pos", "term"))
     return terms.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"), F.min("pos").alias("pos"))
 
 
@@ -94,7 +94,7 @@ _VOCAB = f"{_POST}, vocab AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf
 _RANKED = f"{_VOCAB}, ranked AS (SELECT row_number() OVER (ORDER BY cf DESC, term) AS rank, term, cf FROM vocab)"
 _Q = "q AS (SELECT * FROM (VALUES ('the', 2, 0), ('of', 1, 1), ('de', 1, 2), ('und', 1, 3), ('la', 1, 4)) v(term, qtf, pos))"
 _EDGES = "edges AS (SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL AND src <> dst)"
-_TOPICS = "tt AS (SELECT item_id AS qid, regexp_extract_all(translate(lower(text), 'áéíóúüÁÉÍÓÚÜ', 'aeiouuAEIOUU'), '[a-z]+')[1:3] AS l FROM benchmark), topics AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest(l) AS term FROM tt) GROUP BY ALL)"
+_TOPICS = "tt AS (SELECT item_id AS qid, regexp_extract_all(translate(lower(text), 'áéíóúüÁÉÍÓÚÜ', 'aeiouuAEIOUU'), '[a-z]+') AS l FROM benchmark), topics AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest(l) AS term FROM tt) GROUP BY ALL)"
 _STATS = "st AS (SELECT doc_id, sum(tf) AS dl, sqrt(sum(tf * tf)) AS norm FROM post GROUP BY doc_id), g AS (SELECT count(*) AS n, sum(dl) AS tokens, avg(dl) AS avdl FROM st)"
 
 
