@@ -91,6 +91,7 @@ def learn(docs: DataFrame) -> Profiles:
     def run(batches):
         import pyarrow as pa
 
+        common.claim("profiles", lambda: None)
         for batch in batches:
             parts: dict[str, list] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -114,6 +115,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        common.claim("profiles", lambda: None)
         for batch in batches:
             said = [profiles.predict(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], ["doc_id", "lang_pred", "score"])
@@ -130,6 +132,7 @@ def keep_identified(docs: DataFrame, profiles: Profiles, least: float = 0.0) ->
     def run(batches):
         import pyarrow as pa
 
+        common.claim("profiles", lambda: None)
         for batch in batches:
             said = [profiles.predict(x.as_py()) for x in batch.column(at[0])]
             columns = list(batch.columns)

@@ -1,7 +1,7 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a bounded cache of words.
 
 The tokenizer splits at white space before anything else that depends on neighbours, so a text's ids are the ids of
-its space-separated chunks in order. Chunks repeat (Zipf), so each worker keeps the ids of those it has seen; a chunk
+its space-separated chunks in order. Chunks repeat (Zipf), so each worker keeps the ids of those it has seen, in one cache; a chunk
 of Latin letters, ASCII digits and ASCII signs is looked up by its pre-tokens, any other goes through the library whole. That holds for a tokenizer with the normalizer and the pre-tokenizer
 of ``KNOWN``; with any other every text goes through the library whole.
 """
@@ -14,7 +14,7 @@ from array import array
 
 from . import common
 
-CACHE = 600_000  # entries a worker keeps in each of its two caches: about 130 MB
+CACHE = 500_000  # entries a worker keeps: about 100 MB
 
 _pretoken = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 _plain = re.compile(r"[!-~À-ÖØ-Þß-öø-ÿ]*")
@@ -43,7 +43,7 @@ class _Cache(dict):
 
     def __missing__(self, key: str) -> bytes:
         ids = self.find(key)
-        if len(self) < CACHE and len(key) < 64:
+        if len(key) < 64 and len(self) < CACHE:
             self[key] = ids
         return ids
 
@@ -61,17 +61,18 @@ class WordCachedTokenizer:
             made = json.load(f)
         self.known = (made["normalizer"], made["pre_tokenizer"]) == KNOWN and made["model"]["type"] == "BPE" and not any(made.get(x) for x in ("truncation", "padding"))
         self.known = self.known and all(x["special"] and not x["normalized"] and x["content"].startswith("<|") for x in made["added_tokens"])
-        self.pieces, self.chunks = _Cache(self._piece), _Cache(self._chunk)
+        self.ids = _Cache(self._chunk)  # of chunks and of pre-tokens, since a pre-token met as a chunk has the same ids
 
     def _piece(self, piece: str) -> bytes:
         s = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
         return array("I", [x.id for x in self.model.tokenize(s)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha():
-            return self.pieces[chunk.lower()]
         if "<|" not in chunk and (chunk.isascii() and chunk.isprintable() or _plain.fullmatch(chunk)):
-            return b"".join([self.pieces[p] for p in _pretoken.findall(chunk.lower())])
+            pieces = _pretoken.findall(chunk.lower())
+            if pieces == [chunk]:
+                return self._piece(chunk)
+            return b"".join([self.ids[p] for p in pieces])
         return array("I", self.whole.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
@@ -79,7 +80,7 @@ class WordCachedTokenizer:
             return b""
         if not self.known:
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.chunks.__getitem__, text.translate(_space).split(" ")))
+        return b"".join(map(self.ids.__getitem__, text.translate(_space).split(" ")))
 
 
 _loaded: dict[str, WordCachedTokenizer] = {}
