@@ -23,7 +23,6 @@ KNOWN = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
     {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
 )
-_space = str.maketrans("\n\t\r", "   ")
 
 
 def _byte_letters() -> list[str]:
@@ -68,6 +67,8 @@ class WordCachedTokenizer:
         return array("I", [x.id for x in self.model.tokenize(s)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return self._piece(chunk) if chunk.islower() else self.ids[chunk.lower()]
         if "<|" not in chunk and (chunk.isascii() and chunk.isprintable() or _plain.fullmatch(chunk)):
             pieces = _pretoken.findall(chunk.lower())
             if pieces == [chunk]:
@@ -80,7 +81,7 @@ class WordCachedTokenizer:
             return b""
         if not self.known:
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.ids.__getitem__, text.translate(_space).split(" ")))
+        return b"".join(map(self.ids.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
 _loaded: dict[str, WordCachedTokenizer] = {}
