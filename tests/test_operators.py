@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from papyrix.functions import text
 from papyrix.operators import boolean, evaluate, graph, index, rank
+from papyrix.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +52,9 @@ def test_pagerank_and_crawl(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_topics_hold_every_term_of_a_text(spark, tmp_path):
+    spark.createDataFrame([(1, "uno dos dos tres uno cuatro cinco"), (2, None), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted((r.qid, r.term, r.qtf, r.pos) for r in catalog._topics(spark, str(tmp_path)).collect())
+    assert got == [(1, "cinco", 1, 6), (1, "cuatro", 1, 5), (1, "dos", 2, 1), (1, "tres", 1, 3), (1, "uno", 2, 0)]
