@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -140,6 +141,50 @@ def test_neighbours_in_a_tight_group(spark):
         assert [v for _, v in sorted(found)] == np.lexsort((np.arange(3000), far))[:10].tolist()
 
 
+class Counted(np.ndarray):
+    """Counts the rows that are picked one by one."""
+
+    picked = 0
+
+    def __getitem__(self, key):
+        if isinstance(key, np.ndarray):
+            Counted.picked += key.size
+        return np.asarray(super().__getitem__(key)).view(Counted)
+
+
+def test_neighbours_are_few_exact_measurements():
+    r = np.random.default_rng(3)
+    x = r.standard_normal((4096, 64))
+    index = neighbours.Index.fit(x[:3000], 4)
+    q, ids = r.standard_normal((64, 64)), np.arange(4096)
+    Counted.picked = 0
+    of, rows, far = neighbours.scan(index, {"ids": ids, "vectors": x.view(Counted), "codes": index.encode(x)}, {"ids": np.arange(64) + 5000, "vectors": q}, 10)
+    assert Counted.picked < 0.1 * 64 * 4096
+    for k in range(64):
+        true = np.sqrt(((x - q[k]) ** 2).sum(1))
+        assert rows[of == 5000 + k].tolist() == np.lexsort((ids, true))[:10].tolist()
+
+
+def test_neighbours_in_a_stream_of_blocks():
+    r = np.random.default_rng(4)
+    x = r.standard_normal((3000, 16)).astype("<f4")
+    x[100:2000] = x[100]  # a large group of copies
+    index, ids = neighbours.Index.fit(x.astype(float), 4), np.arange(3000)
+    true = np.sqrt(((x[None].astype(float) - x[::50, None]) ** 2).sum(2))
+    true[np.arange(60), ids[::50]] = np.inf
+    want = [np.lexsort((ids, t))[:10] for t in true]
+    bounds = np.array([np.inf if k % 2 else t[w[4]] for k, (t, w) in enumerate(zip(true, want))])
+    codes = index.encode(x.astype(float))
+    rows = [(0, k % 2, 0, k, x[k].tobytes(), codes[k].tobytes(), None) for k in [*ids, 7, 7]] + [(0, b, 1, 50 * k, x[50 * k].tobytes(), None, bounds[k]) for k in range(60) for b in (0, 1)]
+    rows.sort(key=lambda v: v[:4])
+    schema = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("side", pa.int32()), ("id", pa.int64()), ("vec", pa.binary()), ("code", pa.binary()), ("bound", pa.float64())])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, v)) for v in rows[at : at + 500]], schema) for at in range(0, len(rows), 500)]
+    found = [np.concatenate(v) for v in zip(*neighbours._units(batches, index, "<f4", 10))]
+    for k in range(60):
+        mine = sorted((d, i) for q, i, d in zip(*found) if q == 50 * k)[:10]
+        assert mine == [(true[k][i], i) for i in want[k] if true[k][i] <= bounds[k]][:10]
+
+
 def test_archive_reads_back(spark, edge, tmp_path):
     warc.write(common.table(spark, edge, "pages"), str(tmp_path / "w"))
     rows = {r.page_id: r for r in warc.read(spark, str(tmp_path / "w")).collect()}
