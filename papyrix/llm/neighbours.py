@@ -35,7 +35,7 @@ SAMPLE = 10_000  # vectors that the index is fitted on, or 40 a cell if that is
 CELL_ROWS = 200  # rows a cell should hold
 CELLS = 512  # cells at most
 PROBES = 30  # cells a query scans at least
-RECALL = 0.93  # share of the neighbours of tested queries that the cells scanned must hold
+RECALL = 0.95  # share of the neighbours of tested queries that the cells scanned must hold
 TESTED = 256
 NEAR = 8  # the first round scans one in NEAR of the cells
 BLOCK = 65_536  # rows of a block, or twice the mean of a cell if that is less
