@@ -5,10 +5,8 @@ from __future__ import annotations
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def vbyte_encode(numbers) -> bytes:
@@ -87,27 +85,10 @@ def gamma_bits(n: Column) -> Column:
     return (2 * bit_length(n) - 1).cast("long")
 
 
-@F.pandas_udf(T.BinaryType())
-def vbyte(ids: pd.Series) -> pd.Series:
-    return ids.map(lambda x: vbyte_encode(int(n) for n in x))
-
-
-@F.pandas_udf(T.BinaryType())
-def gamma(counts: pd.Series) -> pd.Series:
-    return counts.map(lambda x: gamma_encode(int(n) for n in x))
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def un_vbyte(data: pd.Series) -> pd.Series:
-    return data.map(vbyte_decode)
-
-
 def vbyte_array(numbers: np.ndarray) -> bytes:
     """``vbyte_encode`` of an array of numbers that are not negative, a byte place at a time."""
     n = numbers.astype(np.uint64)
-    sizes = np.ones(len(n), np.int64)
-    for k in range(1, 10):
-        sizes += n >= np.uint64(1 << 7 * k)
+    sizes = vbyte_sizes(numbers)
     ends = np.cumsum(sizes)
     out = np.empty(int(ends[-1]) if len(n) else 0, np.uint8)
     for k in range(int(sizes.max(initial=0))):
@@ -126,67 +107,83 @@ def un_vbyte_array(data: bytes) -> np.ndarray:
     return np.add.reduceat((b[: ends[-1] + 1] & 127) << 7 * place, starts)
 
 
-def elias_array(numbers: np.ndarray) -> bytes:
-    """Gamma codes that can be read back: a zero for each bit but one, then the number's bits. As long as ``gamma_encode``'s."""
-    n = numbers.astype(np.int64)
-    if len(n) and n.min() < 1:
-        raise ValueError("gamma codes start at 1")
-    size = np.floor(np.log2(n)).astype(np.int64) + 1 if len(n) else n
-    ends = np.cumsum(2 * size - 1)
-    bits = np.zeros(int(ends[-1]) if len(n) else 0, np.uint8)
-    for k in range(int(size.max(initial=0))):
-        here = size > k
-        bits[ends[here] - 1 - k] = (n[here] >> k) & 1
-    return np.packbits(bits).tobytes()
-
-
-def un_elias_array(data: bytes, count: int) -> list[int]:
-    """The first ``count`` numbers: a run of zeros says how many bits follow its one."""
-    bits = np.unpackbits(np.frombuffer(data, np.uint8))
-    ones, out, at = np.flatnonzero(bits), [], 0
-    for _ in range(count):
-        k = np.searchsorted(ones, at)
-        size = int(ones[k]) - at + 1
-        out.append(int("".join(map(str, bits[ones[k] : ones[k] + size])), 2) if size > 1 else 1)
-        at = int(ones[k]) + size
-    return out
-
+def vbyte_sizes(numbers: np.ndarray) -> np.ndarray:
+    """How many bytes each number's code has."""
+    sizes, most = np.ones(len(numbers), np.int64), int(numbers.max(initial=0))
+    for k in range(1, 10):
+        if most < 1 << 7 * k:
+            break
+        sizes += numbers >= 1 << 7 * k
+    return sizes
 
-def _flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the lists, and how many each list has."""
-    sizes = lists.map(len).to_numpy(np.int64)
-    return np.concatenate([np.asarray(x, np.int64) for x in lists]) if len(lists) else np.empty(0, np.int64), sizes
 
+def vbyte_column(n: Column) -> Column:
+    """``vbyte_encode`` of one number a row."""
+    group = lambda k: F.shiftright(n, 7 * k).bitwiseAND(127) + F.when(n >= 1 << 7 * (k + 1), 128).otherwise(0) if k < 8 else F.shiftright(n, 56)
+    byte = lambda k: F.lpad(F.hex(group(k)), 2, "0")
+    return F.unhex(F.concat(byte(0), *[F.when(n >= 1 << 7 * k, byte(k)).otherwise("") for k in range(1, 9)]))
 
-def _cut(data: bytes, sizes: np.ndarray) -> pd.Series:
-    ends = np.cumsum(sizes)
-    return pd.Series([data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())], dtype=object)
 
+def bit_lengths(numbers: np.ndarray) -> np.ndarray:
+    """Bits of each number, which must be 1 or more."""
+    if len(numbers) and numbers.min() < 1:
+        raise ValueError("gamma codes start at 1")
+    return np.frexp(numbers.astype(np.float64))[1].astype(np.int64)
 
-@F.pandas_udf(T.BinaryType())
-def vbyte_gaps(ids: pd.Series) -> pd.Series:
-    numbers, sizes = _flat(ids)
-    gaps = np.diff(numbers, prepend=0)
-    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-    gaps[starts] = numbers[starts]
-    n_bytes = np.ones(len(gaps), np.int64)
-    for k in range(1, 10):
-        n_bytes += gaps >= 1 << 7 * k
-    upto = np.concatenate(([0], np.cumsum(n_bytes)))
-    ends = np.cumsum(sizes)
-    return _cut(vbyte_array(gaps), upto[ends] - upto[ends - sizes])
 
+def gamma_rows(numbers: np.ndarray, sizes: np.ndarray, readable: bool) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The codes of many lists, each of whole bytes: the bytes, where each list's end in them, and each list's number of bits.
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def un_vbyte_gaps(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: np.cumsum(un_vbyte_array(x)))
+    numbers are all lists' one after another, sizes (not 0) how many each has. ``readable``: a zero for each bit but one,
+    then the number's bits; else as ``gamma_encode``, which is as long.
+    """
+    size = bit_lengths(numbers)
+    bits = 2 * size - 1
+    upto, last = np.cumsum(bits), np.cumsum(sizes)
+    row_bits = np.diff(upto[last - 1], prepend=0) if len(sizes) else np.empty(0, np.int64)
+    row_ends = np.cumsum((row_bits + 7) // 8)
+    starts = 8 * (row_ends - (row_bits + 7) // 8)
+    ends = upto + np.repeat(starts - (np.cumsum(row_bits) - row_bits), sizes)
+    out = np.zeros(8 * int(row_ends[-1]) if len(sizes) else 0, np.uint8)
+    out[ends - size if readable else ends - bits] = 1  # the number's highest bit
+    for k in range(int(size.max(initial=1)) - 1):
+        here = np.flatnonzero(size > k + 1)
+        out[ends[here] - 1 - k] = (numbers[here] >> k) & 1
+    return np.packbits(out).tobytes(), row_ends, row_bits
+
+
+def un_gamma_rows(data: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of many readable codes, one after another: data are bytes, starts where each list begins, counts their numbers.
+
+    Where a code begins follows from the code before it. So for each bit the place after a code there is found at once, and
+    that map, taken 1, 2, 4, ... times, gives twice as many beginnings of each list in each step.
+    """
+    bits = np.unpackbits(data)
+    n = len(bits)
+    one = np.minimum.accumulate(np.where(bits, np.arange(n), n)[::-1])[::-1]
+    after = np.append(np.minimum(2 * one - np.arange(n) + 1, n), n)
+    kept = counts > 0
+    at, left, step = starts[kept] * 8, counts[kept], 1  # left: numbers from here to the list's end
+    while len(more := np.flatnonzero(left > step)):
+        at, left, step = np.concatenate((at, after[at[more]])), np.concatenate((left, left[more] - step)), 2 * step
+        after = after[after]
+    at.sort()
+    if len(at) and at[-1] >= n:
+        raise ValueError("the codes end before their count")
+    begin = one[at]
+    size, out = begin - at + 1, np.ones(len(at), np.int64)
+    for k in range(1, int(size.max(initial=0))):
+        here = np.flatnonzero(size > k)
+        out[here] = out[here] << 1 | bits[begin[here] + k]
+    return out
 
 
-@F.pandas_udf(T.BinaryType())
-def elias(counts: pd.Series) -> pd.Series:
-    return counts.map(lambda x: elias_array(np.asarray(x, np.int64)))
+def elias_array(numbers: np.ndarray) -> bytes:
+    """Gamma codes that can be read back: a zero for each bit but one, then the number's bits. As long as ``gamma_encode``'s."""
+    n = numbers.astype(np.int64)
+    return gamma_rows(n, np.array([len(n)]), True)[0] if len(n) else b""
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def un_elias(data: pd.Series, count: pd.Series) -> pd.Series:
-    return pd.Series([un_elias_array(x, n) for x, n in zip(data, count)])
+def un_elias_array(data: bytes, count: int) -> list[int]:
+    """The first ``count`` numbers: a run of zeros says how many bits follow its one."""
+    return un_gamma_rows(np.frombuffer(data, np.uint8), np.zeros(1, np.int64), np.array([count])).tolist()

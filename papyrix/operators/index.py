@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec
+from . import blocks
 
 BLOCK_IDS = 65536  # document ids that a block of compressed postings spans
 
@@ -72,19 +73,28 @@ def code_sizes(posts: DataFrame) -> DataFrame:
     return per_term.agg(F.sum("plain").alias("bytes_ids"), F.sum("gapped").alias("bytes_gaps"), F.sum("counts").cast("long").alias("bytes_counts"))
 
 
+def _in_blocks(posts: DataFrame) -> DataFrame:
+    """Postings dealt out by term and block of BLOCK_IDS document ids, equal ones together; one number is sorted, not terms."""
+    block = F.floor(F.col("doc_id") / BLOCK_IDS).cast("long")
+    rows = posts.select(F.xxhash64("term", block).alias("key"), "term", block.alias("block"), "doc_id", "tf")
+    return rows.repartition("key").sortWithinPartitions("key")
+
+
 def compress(posts: DataFrame, gaps: bool = True) -> DataFrame:
-    """term, df, ids (variable-byte), counts (gamma): the compressed index."""
-    lists = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("l"))
-    ids = F.col("l.doc_id")
-    if gaps:
-        ids = F.transform(ids, lambda x, i: F.when(i == 0, x).otherwise(x - F.element_at(F.col("l.doc_id"), F.greatest(i, F.lit(1)).cast("int"))))
-    return lists.select("term", "df", codec.vbyte(ids).alias("ids"), codec.gamma(F.col("l.tf")).alias("counts"))
+    """term, block, df, base, ids (variable-byte), bits, counts (gamma): the compressed index, in rows of BLOCK_IDS document ids.
+
+    A term's ids are one code, cut between blocks: base is the id before a block's first (0 without gaps), so each block can be
+    read alone. Its counts are the first ``bits`` bits of its blocks, joined.
+    """
+    rows = _in_blocks(posts).mapInArrow(blocks.encode(gaps), "term string, block long, df long, first long, last long, rest binary, bits long, counts binary")
+    base = F.lag("last", 1, 0).over(Window.partitionBy("term").orderBy("block")) if gaps else F.lit(0).cast("long")
+    coded = rows.withColumn("base", base).withColumn("ids", F.concat(codec.vbyte_column(F.col("first") - F.col("base")), "rest"))
+    return coded.select("term", "block", "df", "base", "ids", "bits", "counts")
 
 
 def decompress(index: DataFrame, gaps: bool = True) -> DataFrame:
     """term, doc_id of a compressed index."""
-    rows = index.select("term", F.posexplode(codec.un_vbyte("ids")).alias("at", "gap"))
-    return un_gaps(rows, "at").select("term", "doc_id") if gaps else rows.select("term", F.col("gap").alias("doc_id"))
+    return index.select("term", "df", "base", "ids").mapInArrow(blocks.decode(gaps), "term string, doc_id long")
 
 
 def compress_blocks(posts: DataFrame) -> DataFrame:
@@ -93,16 +103,12 @@ def compress_blocks(posts: DataFrame) -> DataFrame:
     ids are the gaps of a block's documents (from the block's first possible id on) in variable-byte codes, counts gamma
     codes that can be read back.
     """
-    block = F.floor(F.col("doc_id") / BLOCK_IDS).cast("long")
-    lists = posts.groupBy("term", block.alias("block")).agg(F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("l"))
-    within = F.transform(F.col("l.doc_id"), lambda x: x - F.col("block") * BLOCK_IDS)
-    return lists.select("term", "block", "df", codec.vbyte_gaps(within).alias("ids"), codec.elias(F.col("l.tf")).alias("counts"))
+    return _in_blocks(posts).mapInArrow(blocks.encode_blocks(BLOCK_IDS), "term string, block long, df long, ids binary, counts binary")
 
 
 def decompress_blocks(index: DataFrame) -> DataFrame:
     """term, doc_id, tf of compressed blocks."""
-    rows = index.select("term", "block", F.arrays_zip(codec.un_vbyte_gaps("ids").alias("id"), codec.un_elias("counts", "df").alias("tf")).alias("x"))
-    return rows.select("term", "block", F.explode("x").alias("x")).select("term", (F.col("block") * BLOCK_IDS + F.col("x.id")).alias("doc_id"), F.col("x.tf").alias("tf"))
+    return index.select("term", "block", "df", "ids", "counts").mapInArrow(blocks.decode_blocks(BLOCK_IDS), "term string, doc_id long, tf long")
 
 
 def term_ids(vocab: DataFrame) -> DataFrame:

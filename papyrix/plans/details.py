@@ -96,12 +96,12 @@ _GAPS = f"{c._POST}, g AS (SELECT term, tf, doc_id - lag(doc_id, 1, 0) OVER (PAR
 
 @query(f"WITH {_GAPS} SELECT term, sum(greatest(1, ceil(length(bin(gap)) / 7.0)))::BIGINT AS n_bytes FROM g GROUP BY term")
 def vbyte_encode(spark, d):
-    return index.compress(c._posts(spark, d)).select("term", F.length("ids").cast("long").alias("n_bytes"))
+    return index.compress(c._posts(spark, d)).groupBy("term").agg(F.sum(F.length("ids")).alias("n_bytes"))
 
 
 @query(f"WITH {_GAPS} SELECT term, ceil(sum(2 * length(bin(tf)) - 1) / 8.0)::BIGINT AS n_bytes FROM g GROUP BY term")
 def gamma_encode(spark, d):
-    return index.compress(c._posts(spark, d)).select("term", F.length("counts").cast("long").alias("n_bytes"))
+    return index.compress(c._posts(spark, d)).groupBy("term").agg(F.ceil(F.sum("bits") / 8).alias("n_bytes"))
 
 
 def _stored(spark, d) -> str:
