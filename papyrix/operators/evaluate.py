@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """The run with rel (0 if not judged), relevant found so far, and the query's number of relevant documents."""
@@ -129,8 +131,11 @@ def strength(rho: F.Column) -> F.Column:
 
 
 def rank_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """k, percent: for each k the share of the first k of one ranking that are among the other's first k (item, rank)."""
+    """k, percent: for each k the share of the first k of one ranking that are among the other's first k (item, rank).
+
+    Ranks go from 1 without gaps, so equal ranges of them are summed apart.
+    """
     both = a.join(b.withColumnRenamed("rank", "rank_b"), "item").select(F.greatest("rank", "rank_b").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    frame = a.select(F.col("rank").alias("k")).join(both, "k", "left")
-    upto = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    return frame.select("k", (100.0 * F.sum(F.coalesce("n", F.lit(0))).over(upto) / F.col("k")).alias("percent"))
+    frame = a.select(F.col("rank").alias("k")).join(both, "k", "left").select("k", F.coalesce("n", F.lit(0)).alias("n"))
+    summed = ordered.running(frame.withColumn("part", F.floor(F.col("k") / ordered.ROWS)), ["n"], "k")
+    return summed.select("k", (100.0 * F.col("n") / F.col("k")).alias("percent"))
