@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import index
+from ..sources import shared
+from . import index, ordered
 
 
 def collection(posts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -62,13 +63,13 @@ def prune(ranked: DataFrame, share: float, stop_words: tuple[str, ...]) -> DataF
 def heaps_growth(lines: DataFrame) -> DataFrame:
     """line_no, n_tokens, n_terms so far, of a table with line_no and terms; new terms are counted at their first line.
 
-    The running sums are over one row a line.
+    The running sums are over one row a line, kept once, in ranges of lines.
     """
-    words = lines.select("line_no", F.explode("terms").alias("term"))
-    new = words.groupBy("term").agg(F.min("line_no").alias("line_no")).groupBy("line_no").agg(F.count(F.lit(1)).alias("new"))
-    per = lines.select("line_no", F.size("terms").alias("n")).join(new, "line_no", "left")
-    upto = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return per.select("line_no", F.sum("n").over(upto).alias("n_tokens"), F.sum(F.coalesce("new", F.lit(0))).over(upto).alias("n_terms"))
+    shared.prepare(lines.sparkSession)
+    words = lines.select("line_no", F.explode(F.array_distinct("terms")).alias("term"))
+    new = words.groupBy("term").agg(F.min("line_no").alias("line_no")).groupBy("line_no").agg(F.count(F.lit(1)).alias("n_terms"))
+    per = lines.select("line_no", F.size("terms").cast("long").alias("n_tokens")).join(new, "line_no", "left").na.fill(0, ["n_terms"]).checkpoint()
+    return ordered.running(ordered.split(per, "line_no"), ["n_tokens", "n_terms"], "line_no").select("line_no", "n_tokens", "n_terms")
 
 
 def heaps_fit(growth: DataFrame) -> DataFrame:
