@@ -56,31 +56,53 @@ def vector_search(posts: DataFrame, queries: DataFrame, n_docs: int, k: int) ->
     return top(hits.join(qnorm, "qid").select("qid", "doc_id", (F.col("dot") / (one("qnorm") * one("dnorm"))).alias("score")), k)
 
 
-def _scored(posts: DataFrame, queries: DataFrame, formula: Column, k: int, lengths: DataFrame | None) -> DataFrame:
-    """Sum of a formula over df, cf, tf, qtf, dl and the collection's n, tokens, avdl (one row, broadcast).
+def _sums(posts: DataFrame, queries: DataFrame, formulas: dict[str, Column], lengths: DataFrame | None) -> DataFrame:
+    """qid, doc_id and sums of formulas over df, cf, tf, qtf, dl and the collection's n, tokens, avdl (one row, broadcast).
 
     posts may hold the queries' terms only where ``lengths`` (doc_id, dl, of all documents with terms) is given: then no
-    other posting is made.
+    other posting is made. Postings are dealt out by document before they meet the queries, which are broadcast with their
+    terms' counts, so what is dealt out does not grow with the number of queries.
     """
     stats = posts.groupBy("doc_id").agg(F.sum("tf").alias("dl")) if lengths is None else lengths
     whole = stats.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("tokens"), F.avg("dl").alias("avdl"))
     terms = posts.join(queries.select("term").distinct(), "term", "left_semi")
-    rows = terms.join(index.vocabulary(terms), "term").join(queries, "term").join(stats, "doc_id").join(F.broadcast(whole))
-    return top(rows.withColumn("s", formula).groupBy("qid", "doc_id").agg(F.sum("s").alias("score")), k)
+    known = queries.join(index.vocabulary(terms), "term")
+    rows = terms.join(stats, "doc_id").join(F.broadcast(known), "term").join(F.broadcast(whole))
+    return rows.groupBy("qid", "doc_id").agg(*[F.sum(f).alias(name) for name, f in formulas.items()])
+
+
+def _scored(posts: DataFrame, queries: DataFrame, formula: Column, k: int, lengths: DataFrame | None) -> DataFrame:
+    return top(_sums(posts, queries, {"score": formula}, lengths), k)
+
+
+def runs(posts: DataFrame, queries: DataFrame, formulas: dict[str, Column], k: int, lengths: DataFrame | None = None) -> DataFrame:
+    """run (the formula's name), qid, doc_id, score, rank 1..k by each of several formulas, from one pass over the postings."""
+    scored = _sums(posts, queries, formulas, lengths)
+    each = scored.select("qid", "doc_id", F.explode(F.array(*[F.struct(F.lit(name).alias("run"), F.round(name, 9).alias("score")) for name in formulas])).alias("x")).select("x.run", "qid", "doc_id", "x.score")
+    rank = F.row_number().over(Window.partitionBy("run", "qid").orderBy(F.desc("score"), F.desc("doc_id")))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 K1, B, K3, LAMBDA = 1.2, 0.75, 8.0, 0.15
 
 
-def bm25(posts: DataFrame, queries: DataFrame, k: int, lengths: DataFrame | None = None) -> DataFrame:
+def bm25_formula() -> Column:
     c = F.col
     idf = F.log2((c("n") - c("df") + 0.5) / (c("df") + 0.5))
-    return _scored(posts, queries, (K3 + 1) * c("qtf") / (K3 + c("qtf")) * c("tf") / (c("tf") + K1 * (1 - B + B * c("dl") / c("avdl"))) * idf, k, lengths)
+    return (K3 + 1) * c("qtf") / (K3 + c("qtf")) * c("tf") / (c("tf") + K1 * (1 - B + B * c("dl") / c("avdl"))) * idf
 
 
-def tfidf_robertson(posts: DataFrame, queries: DataFrame, k: int, lengths: DataFrame | None = None) -> DataFrame:
+def robertson_formula() -> Column:
     c = F.col
-    return _scored(posts, queries, c("qtf") * K1 * c("tf") / (c("tf") + K1 * (1 - B + B * c("dl") / c("avdl"))) * F.log2(c("n") / c("df") + 1), k, lengths)
+    return c("qtf") * K1 * c("tf") / (c("tf") + K1 * (1 - B + B * c("dl") / c("avdl"))) * F.log2(c("n") / c("df") + 1)
+
+
+def bm25(posts: DataFrame, queries: DataFrame, k: int, lengths: DataFrame | None = None) -> DataFrame:
+    return _scored(posts, queries, bm25_formula(), k, lengths)
+
+
+def tfidf_robertson(posts: DataFrame, queries: DataFrame, k: int, lengths: DataFrame | None = None) -> DataFrame:
+    return _scored(posts, queries, robertson_formula(), k, lengths)
 
 
 def hiemstra(posts: DataFrame, queries: DataFrame, k: int, lengths: DataFrame | None = None) -> DataFrame:

@@ -202,7 +202,11 @@ _AT = "(SELECT a.qid, 50 AS k, a.doc_id AS x, b.doc_id AS y FROM run a JOIN run2
 
 @query(f"WITH {c._RUN}, {_SECOND} SELECT qid, k::INT AS k, count(*) AS n, round(corr(rx, ry), 7) AS rho FROM (SELECT qid, k, rank() OVER (PARTITION BY qid, k ORDER BY x) AS rx, rank() OVER (PARTITION BY qid, k ORDER BY y) AS ry FROM {_AT}) GROUP BY qid, k HAVING count(*) > 1")
 def rank_corr_topk(spark, d):
-    first, second = c._run(spark, d), rank.tfidf_robertson(c._some(spark, d, c._topics(spark, d)), c._topics(spark, d).drop("pos"), 1000, c._lengths(spark, d))
+    """Both runs come from one pass, to the depth that is compared, and are kept for the three depths."""
+    shared.prepare(spark)
+    topics = c._topics(spark, d).drop("pos")
+    both = rank.runs(c._some(spark, d, topics), topics, {"bm25": rank.bm25_formula(), "tfidf": rank.robertson_formula()}, 50, c._lengths(spark, d)).checkpoint()
+    first, second = both.where("run = 'bm25'"), both.where("run = 'tfidf'")
     out = None
     for k in (10, 25, 50):
         one = evaluate.position_correlation(first, second, k).where("n > 1").select("qid", F.lit(k).alias("k"), "n", F.round("rho", 7).alias("rho"))
