@@ -77,3 +77,19 @@ def test_crawl_without_caps_has_no_window_over_an_origin(spark):
     assert sorted(r.url for r in capped.collect()) == [1, 2, 3, 4, 5]
     total, _ = graph.crawl(pages, edges, seeds, max_depth=3, total=6)
     assert sorted(r.url for r in total.select(F.col("url")).collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_growth_over_ranges_of_lines(spark, tmp_path):
+    rng = random.Random(7)
+    data = [(k // 4 * 3, k % 4, " ".join(rng.choice("abcdefghijklmnop") * rng.randrange(1, 4) for _ in range(rng.randrange(5)))) for k in range(80)]
+    rng.shuffle(data)
+    spark.createDataFrame(data, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    growth = catalog._growth(spark, str(tmp_path))
+    want, seen, total = [], set(), 0
+    for k, (_, _, line) in enumerate(sorted(data)):
+        total += len(line.split())
+        seen |= set(line.split())
+        want.append((k + 1, total, len(seen)))
+    assert sorted(map(tuple, growth.collect())) == want
+    # the sums are made in ranges
+    assert "windowspecdefinition(part" in growth._jdf.queryExecution().toString()
